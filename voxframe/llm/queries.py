@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import bpe_chunks, line_dedup, token_files
+from voxframe.llm import bpe_chunks, kneser_ney, line_dedup, token_files
 from voxframe.llm.common import table, tuned
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of every document."""
+    return kneser_ney.classify(table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document."""
     return bpe_chunks.round_trip(table(tuned(spark), sf_dir, "documents"))
@@ -26,6 +31,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kneser_ney": op1_kneser_ney,
     "op7_bpe_chunks": op7_bpe_chunks,
     "op9_token_orc": op9_token_orc,
     "op10_line_dedup": op10_line_dedup,
