@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import bpe_chunks, kneser_ney, line_dedup, token_files
+from voxframe.llm import bpe_chunks, jaccard_join, kneser_ney, line_dedup, token_files
 from voxframe.llm.common import table, tuned
 
 
@@ -15,6 +15,11 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity classes of all documents."""
+    return jaccard_join.join_similar(table(tuned(spark), sf_dir, "documents"))
+
+
 def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document."""
     return bpe_chunks.round_trip(table(tuned(spark), sf_dir, "documents"))
@@ -32,6 +37,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney": op1_kneser_ney,
+    "op4_jaccard_join": op4_jaccard_join,
     "op7_bpe_chunks": op7_bpe_chunks,
     "op9_token_orc": op9_token_orc,
     "op10_line_dedup": op10_line_dedup,
@@ -51,4 +57,24 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op10_line_dedup": _LINES}
+_SIMILAR = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)])
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+), shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, m.c AS component_id FROM sets s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = s.doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_jaccard_join": _SIMILAR,
+    "op10_line_dedup": _LINES,
+}
