@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import bpe_chunks, jaccard_join, kneser_ney, line_dedup, token_files
+from voxframe.llm import bpe_chunks, decontaminate, jaccard_join, kneser_ney, line_dedup, token_files
 from voxframe.llm.common import table, tuned
 
 
@@ -25,6 +25,11 @@ def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.round_trip(table(tuned(spark), sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold which benchmark items."""
+    return decontaminate.find_leaks(table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every document's ids to ORC and describes the files."""
     return token_files.written_and_read(table(tuned(spark), sf_dir, "documents"))
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney": op1_kneser_ney,
     "op4_jaccard_join": op4_jaccard_join,
     "op7_bpe_chunks": op7_bpe_chunks,
+    "op8_decontaminate": op8_decontaminate,
     "op9_token_orc": op9_token_orc,
     "op10_line_dedup": op10_line_dedup,
 }
