@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import bpe_chunks, decontaminate, jaccard_join, kneser_ney, line_dedup, token_files
+from voxframe.llm import bpe_chunks, decontaminate, html_text, jaccard_join, kneser_ney, line_dedup, token_files
 from voxframe.llm.common import table, tuned
 
 
@@ -15,6 +15,11 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(table(tuned(spark), sf_dir, "pages"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity classes of all documents."""
     return jaccard_join.join_similar(table(tuned(spark), sf_dir, "documents"))
@@ -42,6 +47,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney": op1_kneser_ney,
+    "op2_html_text": op2_html_text,
     "op4_jaccard_join": op4_jaccard_join,
     "op7_bpe_chunks": op7_bpe_chunks,
     "op8_decontaminate": op8_decontaminate,
