@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import bpe_chunks, decontaminate, html_text, jaccard_join, kneser_ney, line_dedup, token_files
+from voxframe.llm import bpe_chunks, decontaminate, html_text, jaccard_join, kneser_ney, line_dedup, quotes, token_files
 from voxframe.llm.common import table, tuned
 
 
@@ -20,6 +20,11 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(tuned(spark), sf_dir, "pages"))
 
 
+def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages in reply order, without quotes."""
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity classes of all documents."""
     return jaccard_join.join_similar(table(tuned(spark), sf_dir, "documents"))
@@ -48,6 +53,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_html_text": op2_html_text,
+    "op3_quotes": op3_quotes,
     "op4_jaccard_join": op4_jaccard_join,
     "op7_bpe_chunks": op7_bpe_chunks,
     "op8_decontaminate": op8_decontaminate,
@@ -69,6 +75,43 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_REPLIES = r"""
+WITH RECURSIVE m AS (
+  SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+), split AS (
+  SELECT r, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM m
+), lines AS (
+  SELECT *, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level, regexp_replace(line, '^(?:[ \t]*>)+', '') AS body FROM split
+), own AS (
+  SELECT m.r, m.conv_id, m.turn, m.role,
+    CASE WHEN bool_or(level > 0) THEN trim(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0 AND NOT regexp_matches(body, '(?i)^\s*on\s.{1,200}\swrote:\s*$')), ''), E' \n\t\r') ELSE any_value(m.text) END AS reply
+  FROM m JOIN lines l ON l.r = m.r GROUP BY ALL
+), runs AS (
+  SELECT *, i - row_number() OVER (PARTITION BY r, level ORDER BY i) AS run FROM lines
+), passages AS (
+  SELECT r, conv_id, turn, level, run, string_agg(body, chr(10) ORDER BY i) AS body FROM runs WHERE level > 0 GROUP BY ALL
+), asked AS (
+  SELECT r, conv_id, turn, level, trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')) AS words FROM (SELECT r, conv_id, turn, level, body FROM passages UNION ALL SELECT r, conv_id, turn, level, body FROM lines WHERE level > 0)
+), said AS (
+  SELECT conv_id, turn, trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')) AS words FROM (SELECT conv_id, turn, body FROM lines WHERE level = 0 UNION ALL SELECT conv_id, turn, reply FROM own)
+), origin AS (
+  SELECT conv_id, words, min(turn) AS origin FROM said WHERE length(words) >= 12 GROUP BY ALL
+), best AS (
+  SELECT a.r, a.conv_id, a.turn, arg_max(o.origin, (-a.level, length(a.words), o.origin)) AS parent
+  FROM asked a JOIN origin o ON a.conv_id = o.conv_id AND a.words = o.words AND o.origin < a.turn GROUP BY ALL
+), up AS (SELECT conv_id, turn, min(parent) AS parent FROM best GROUP BY ALL
+), way AS (
+  SELECT conv_id, turn, parent, [parent, turn] AS path FROM up
+  UNION ALL SELECT w.conv_id, w.turn, u.parent, list_prepend(u.parent, w.path) FROM way w JOIN up u ON u.conv_id = w.conv_id AND u.turn = w.parent
+), path AS (SELECT conv_id, turn, arg_max(path, len(path)) AS path FROM way GROUP BY ALL
+), n AS (SELECT r, count(*) AS n FROM passages GROUP BY r)
+SELECT own.conv_id, own.turn, own.role, best.parent AS parent_turn,
+  CASE WHEN best.parent IS NULL THEN 0 ELSE len(path.path) - 1 END AS depth,
+  array_to_string([lpad(t::VARCHAR, 10, '0') FOR t IN (CASE WHEN best.parent IS NULL THEN [own.turn] ELSE path.path END)], '/') AS reply_path,
+  coalesce(n.n, 0) AS n_passages, reply AS content, '<|' || coalesce(own.role, '') || '|>' || chr(10) || reply AS formatted
+FROM own LEFT JOIN best ON best.r = own.r LEFT JOIN path ON path.conv_id = own.conv_id AND path.turn = own.turn LEFT JOIN n ON n.r = own.r
+"""
+
 _SIMILAR = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -87,6 +130,7 @@ SELECT s.doc_id, len(s.s) AS n_shingles, m.c AS component_id FROM sets s JOIN (S
 """
 
 ORACLES: dict[str, str] = {
+    "op3_quotes": _REPLIES,
     "op4_jaccard_join": _SIMILAR,
     "op10_line_dedup": _LINES,
 }
