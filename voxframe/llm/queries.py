@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import bpe_chunks, decontaminate, html_text, jaccard_join, kneser_ney, line_dedup, quotes, token_files
+from voxframe.llm import bpe_chunks, decontaminate, html_text, jaccard_join, kneser_ney, line_dedup, mpeg_audio, quotes, token_files
 from voxframe.llm.common import table, tuned
 
 
@@ -30,6 +30,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_similar(table(tuned(spark), sf_dir, "documents"))
 
 
+def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an audio file, read back."""
+    files = mpeg_audio.to_audio(table(tuned(spark), sf_dir, "documents"))
+    return mpeg_audio.described(files).drop("seconds", "crc_bad", "frame_offsets")
+
+
 def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document."""
     return bpe_chunks.round_trip(table(tuned(spark), sf_dir, "documents"))
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_text": op2_html_text,
     "op3_quotes": op3_quotes,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_mpeg_audio": op5_mpeg_audio,
     "op7_bpe_chunks": op7_bpe_chunks,
     "op8_decontaminate": op8_decontaminate,
     "op9_token_orc": op9_token_orc,
