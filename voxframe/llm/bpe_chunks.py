@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.llm.common import random_words, tuned, utf8
-from voxframe.llm.words import LONGEST_WORD, tokenizer, word_encoder
+from voxframe.llm.words import tokenizer, word_encoder
 
 #: Rolling window in bytes (a power of two), and bits of the hash that must be 0 at a cut: 64 bytes a chunk on average.
 WINDOW, CUT_BITS = 16, 6
@@ -63,20 +63,16 @@ class ChunkEncoder:
         if len(parts) == 1:
             got = (parts[0], None, None)
         else:
-            words, ids = self.words, []
-            for w in parts[1:-1]:
-                known = words.memo.get(w)
-                ids += words.word(w) if known is None else known
-            got = (parts[0], ids, parts[-1])
+            got = (parts[0], b"".join(map(self.words.word, parts[1:-1])), parts[-1])
         if len(piece) <= LONGEST_CHUNK:
             if len(self.memo) >= MOST_CHUNKS:
                 self.memo.clear()
             self.memo[piece] = got
         return got
 
-    def encode(self, raw: bytes, ends: np.ndarray) -> list[int]:
-        """The ids of one text from its chunks; the words that cuts went through are encoded anew."""
-        ids: list[int] = []
+    def encode(self, raw: bytes, ends: np.ndarray) -> bytes:
+        """The ids (4 bytes each) of one text from its chunks; the words that cuts went through are encoded anew."""
+        ids: list[bytes] = []
         pending: list[str] = []
         at = 0
         for end in [*ends.tolist(), len(raw)]:
@@ -87,22 +83,25 @@ class ChunkEncoder:
             at = end
             pending.append(head)
             if middle is not None:
-                ids += self.words.word("".join(pending))
-                ids += middle
+                ids += [self.words.word("".join(pending)), middle]
                 pending = [tail]
-        ids += self.words.word("".join(pending))
-        return ids
+        ids.append(self.words.word("".join(pending)))
+        return b"".join(ids)
 
-    def batch(self, column: pa.Array) -> Iterator[list[int]]:
-        """The ids of each text of a column. Words of the whole column are made known in one call first."""
+    def batch(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a column. Words of the whole column are made known in few calls first."""
         raw, offsets = utf8(column)
         data = raw.tobytes()
-        self.words.learn([w for w in set(data.decode().replace("\n", " ").split(" ")) if len(w) <= LONGEST_WORD])
+        words = set()
+        for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            words.update(data[i:j].decode().replace("\n", " ").split(" "))
+        self.words.learn(words)
         ends = cuts(raw)
         for i in range(len(offsets) - 1):
             a, b = offsets[i], offsets[i + 1]
             lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(ends, b, "left")
             yield self.encode(data[a:b], ends[lo:hi] - a)
+        self.words.forget(words)
 
 
 @lru_cache(maxsize=2)
@@ -126,8 +125,8 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
         for b in batches:
             at, flat = [0], []
             for ids in encoder.batch(b.column(b.schema.get_field_index(text))):
-                flat.append(np.asarray(ids, np.int32))
-                at.append(at[-1] + len(ids))
+                flat.append(np.frombuffer(ids, "<i4"))
+                at.append(at[-1] + len(flat[-1]))
             values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "ids"])
@@ -151,22 +150,30 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.mapInArrow(run, f"{schema}, decoded string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document; encodes and decodes in one pass.
+def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, with_ids also ids; encodes and decodes in one pass.
 
     Null text counts as empty: no tokens, and the digests of nothing. Rows with equal texts agree;
     repeated doc_ids give repeated rows; other columns are not read.
     """
     tuned(docs.sparkSession)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, library = chunk_encoder(path), tokenizer(path)
         for b in batches:
-            n, a, d = [], [], []
+            n, a, d, flat = [], [], [], []
             for ids in encoder.batch(b.column(1)):
-                n.append(len(ids))
-                a.append(hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest())
-                d.append(hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                n.append(len(ids) // 4)
+                a.append(hashlib.sha256(ids).hexdigest())
+                d.append(hashlib.sha256(library.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False).encode()).hexdigest())
+                if with_ids:
+                    flat.append(ids)
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+            if with_ids:
+                at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(flat), "<i4"), pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kinds)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import bpe_chunks, decontaminate, html_text, jaccard_join, kneser_ney, line_dedup, mpeg_audio, quotes, token_files
+from voxframe.llm import bpe_chunks, decontaminate, html_text, jaccard_join, kneser_ney, line_dedup, mpeg_audio, pii, quotes, token_files
 from voxframe.llm.common import table, tuned
 
 
@@ -36,6 +36,11 @@ def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.described(files).drop("seconds", "crc_bad", "frame_offsets")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find_personal(table(tuned(spark), sf_dir, "documents"))
+
+
 def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document."""
     return bpe_chunks.round_trip(table(tuned(spark), sf_dir, "documents"))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quotes": op3_quotes,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_mpeg_audio": op5_mpeg_audio,
+    "op6_pii": op6_pii,
     "op7_bpe_chunks": op7_bpe_chunks,
     "op8_decontaminate": op8_decontaminate,
     "op9_token_orc": op9_token_orc,
