@@ -68,6 +68,7 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     path = scratch(df.sparkSession, what)
     schema = df.schema
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop shuffle files of finished steps
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

@@ -31,6 +31,8 @@ MOST_SHINGLES = 2_000_000
 FANOUT = 8
 #: Bits of a shingle's hash that are counted; chance equals only let a document through to the next step.
 COUNTED_BITS = 48
+#: Texts of a slice whose shingles are counted together before they are sent, in bytes.
+COUNTED_BYTES = 4_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -85,68 +87,86 @@ def digest(own: np.ndarray) -> tuple[int, int]:
 
 
 def _counted(docs: DataFrame, parts: int, size: int) -> DataFrame:
-    """(doc_id, n, d1, d2, shared): set sizes and digests, and how many shingles other documents have too."""
+    """(doc_id, n, d1, d2, shared): set sizes and digests, and how many shingles other documents have too.
+
+    A row that is sent holds the shingles of one slice of documents that fall into one part, by document;
+    documents are named by their slice and their place in it, both the same if a task runs again.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = utf8(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, COUNTED_BYTES):
                 sets = list(shingles(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size))
                 sizes = np.array([len(s) for s in sets])
                 flat, of = np.concatenate(sets), np.repeat(np.arange(hi - lo), sizes)
                 order = np.argsort(flat)
-                flat, of = flat[order], of[order]
-                first = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
-                again = ~first | np.concatenate([~first[1:], [False]]) if len(flat) else first
+                same = flat[order][1:] == flat[order][:-1]
+                first, again = np.ones(len(flat), bool), np.zeros(len(flat), bool)
+                first[order[1:][same]] = False
+                again[order[1:][same]] = again[order[:-1][same]] = True
                 here = np.bincount(of[again], minlength=hi - lo)
-                digests = [digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(1, -1, np.int32)), pa.array([np.concatenate([ids[lo:hi], sizes, [d[0] for d in digests], [d[1] for d in digests], here]).astype("<i8").tobytes()], pa.binary()),
-                ], ["part", "rows"])
-                owner = np.where(again, -1, of)[first]  # -1: known to be shared here already
+                digests = np.array([digest(s) for s in sets], "<i8").reshape(-1, 2)
+                name = int(mix((ids[lo:hi].astype(np.uint64) + digests[:, 0].view(np.uint64)) * _PLACE[14] + np.arange(hi - lo, dtype=np.uint64)).sum().view(np.int64))
+                own = np.concatenate([ids[lo:hi], sizes, digests[:, 0], digests[:, 1], here]).astype("<i8").tobytes()
+                owner = np.where(again, -1, of)[first]  # -1: known to be shared here already, sent once
                 flat = flat[first]
                 part = (flat >> np.uint64(COUNTED_BITS)).astype(np.int64) % parts
-                order = np.argsort(part, kind="stable")
+                order = np.lexsort((owner, part)) if again.any() else np.argsort(part, kind="stable")
                 flat, owner, part = flat[order], owner[order], part[order]
                 bounds = np.searchsorted(part, np.arange(parts + 1))
                 some = np.flatnonzero(np.diff(bounds))
                 blobs = []
                 for p in some.tolist():
-                    own = slice(bounds[p], bounds[p + 1])
-                    docs_, at = np.unique(owner[own], return_inverse=True)
-                    known = np.where(docs_ < 0, np.int64(-(2**63)), ids[lo:hi][docs_])
-                    h = flat[own] & np.uint64((1 << COUNTED_BITS) - 1)
-                    blobs.append(np.array([len(docs_), len(h)], "<i8").tobytes() + known.astype("<i8").tobytes() + (h & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (h >> np.uint64(32)).astype("<u2").tobytes() + at.astype("<u2").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "rows"])
+                    mine = owner[bounds[p] : bounds[p + 1]]
+                    cut = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+                    h = flat[bounds[p] : bounds[p + 1]]
+                    blobs.append(np.array([len(cut), len(h)], "<i8").tobytes() + mine[cut].astype("<i4").tobytes() + np.diff(cut, append=len(mine)).astype("<i4").tobytes() + (h & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (h >> np.uint64(32)).astype("<u2").tobytes())
+                some = np.concatenate([[-1 - name % parts], some]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), name)), pa.array([own, *blobs], pa.binary())], ["part", "slice", "rows"])
 
     def count(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, owners = [], []
+        hashes, owners, names = [], [], []
         for t in tables:
-            for blob in t.column("rows").to_pylist():
+            for part, name, blob in zip(*(t.column(c).to_pylist() for c in ("part", "slice", "rows")), strict=True):
+                if part < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([True]), pa.array([blob])], ["slice", "own", "rows"])
+                    continue
                 d, n = np.frombuffer(blob, "<i8", 2).tolist()
-                known, at = np.frombuffer(blob, "<i8", d, 16), 16 + 8 * d
-                h = np.frombuffer(blob, "<u4", n, at).astype(np.uint64) | np.frombuffer(blob, "<u2", n, at + 4 * n).astype(np.uint64) << np.uint64(32)
-                hashes.append(h)
-                owners.append(known[np.frombuffer(blob, "<u2", n, at + 6 * n)])
-        h, who = np.concatenate(hashes), np.concatenate(owners)
-        order = np.argsort(h)
-        h, who = h[order], who[order]
-        same = h[1:] == h[:-1]
-        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        docs_, n = np.unique(who[shared & (who != -(2**63))], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "shared"])
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for blob in b.column(0).to_pylist():
-                rows = np.frombuffer(blob, "<i8").reshape(5, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["doc_id", "n", "d1", "d2", "shared"])
+                place, each, at = np.frombuffer(blob, "<i4", d, 16), np.frombuffer(blob, "<i4", d, 16 + 4 * d), 16 + 8 * d
+                hashes.append(np.frombuffer(blob, "<u4", n, at).astype(np.uint64) | np.frombuffer(blob, "<u2", n, at + 4 * n).astype(np.uint64) << np.uint64(32))
+                owners.append(np.where(np.repeat(place, each) < 0, np.int64(-1), np.repeat(place, each).astype(np.int64) | np.int64(len(names) << 32)))
+                names.append(name)
+        if hashes:
+            h, who = np.concatenate(hashes), np.concatenate(owners)
+            order = np.argsort(h)
+            h, who = h[order], who[order]
+            same = h[1:] == h[:-1]
+            shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            who, n = np.unique(who[shared & (who >= 0)], return_counts=True)
+            cut = np.searchsorted(who >> 32, np.arange(len(names) + 1))
+            place = (who & 0xFFFFFFFF).astype("<i4")
+            some = np.flatnonzero(np.diff(cut)).tolist()
+            blobs = [place[cut[i] : cut[i + 1]].tobytes() + n[cut[i] : cut[i + 1]].astype("<i4").tobytes() for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.int64()), pa.array([False] * len(some), pa.bool_()), pa.array(blobs, pa.binary())], ["slice", "own", "rows"])
+
+    def merge(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, far = [], []
+        for t in tables:
+            for mine, blob in zip(t.column("own").to_pylist(), t.column("rows").to_pylist(), strict=True):
+                if mine:
+                    own.append(np.frombuffer(blob, "<i8").reshape(5, -1))
+                else:
+                    far.append(np.frombuffer(blob, "<i4").reshape(2, -1))
+        for rows in own:  # more than one only if whole slices are equal; then each has what all of them were told
+            shared = rows[4].copy()
+            for place, n in far:
+                shared[place] += n
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows[:4], shared)], ["doc_id", "n", "d1", "d2", "shared"])
 
-    sent = staged(docs.mapInArrow(send, "part int, rows binary").repartition(parts, "part"), "shingles")
-    far = sent.where("part >= 0").groupBy("part").applyInArrow(count, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("far"))
-    near = sent.where("part < 0").select("rows").mapInArrow(own, "doc_id long, n long, d1 long, d2 long, shared long")
-    return near.join(far, "doc_id", "left").select("doc_id", "n", "d1", "d2", (F.col("shared") + F.coalesce("far", F.lit(0))).alias("shared"))
+    told = docs.mapInArrow(send, "part int, slice long, rows binary").groupBy("part").applyInArrow(count, "slice long, own boolean, rows binary")
+    return told.groupBy("slice").applyInArrow(merge, "doc_id long, n long, d1 long, d2 long, shared long")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -364,7 +384,8 @@ def join_similar(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, mos
     keys = _prefixes(sets, percent)
     lead = keys.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last")
     chained = components(keys.join(lead, "key").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")))
-    members = staged(sets.join(chained.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id").select("cluster", "doc_id", "n", "tokens"), "members")
+    chained = staged(chained.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
+    members = sets.join(F.broadcast(chained) if small_enough(chained) else chained, "doc_id").select("cluster", "doc_id", "n", "tokens")
     whole = components(_links(members, percent, most))
     named = facts.join(same, ["n", "d1", "d2"], "left").join(whole.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
