@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import random_words, tuned, utf8
+from voxframe.llm.common import lean, random_words, tuned, utf8
 from voxframe.llm.words import tokenizer, word_encoder
 
 #: Rolling window in bytes (a power of two), and bits of the hash that must be 0 at a cut: 64 bytes a chunk on average.
 WINDOW, CUT_BITS = 16, 6
 #: Chunks kept per worker, and the longest one kept, in bytes. Both bound memory only.
-MOST_CHUNKS, LONGEST_CHUNK = 150_000, 512
+MOST_CHUNKS, LONGEST_CHUNK = 80_000, 512
+#: Words kept beside them.
+MOST_WORDS = 300_000
 _GEAR = random_words(256, 7)
 
 
@@ -49,7 +51,7 @@ class ChunkEncoder:
     """Chunks to ids, with a memo of chunks shared by all documents of a worker."""
 
     def __init__(self, path: str | None = None) -> None:
-        self.words = word_encoder(path)
+        self.words = word_encoder(path, MOST_WORDS)
         self.memo: dict[bytes, tuple] = {}
         self.met = self.reused = 0
 
@@ -131,7 +133,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "ids"])
 
-    return docs.mapInArrow(run, f"{schema}, ids array<int>")
+    return docs.mapInArrow(lean(run), f"{schema}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -147,7 +149,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [library.decode(x or [], skip_special_tokens=False) for x in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, f"{schema}, decoded string")
+    return encoded.mapInArrow(lean(run), f"{schema}, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -176,4 +178,4 @@ def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False)
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kinds)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), kinds)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -14,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches are cut at this many rows or bytes, so that a batch of long texts stays small in a worker.
-ROWS_PER_BATCH, BYTES_PER_BATCH = 4000, 8_000_000
+ROWS_PER_BATCH, BYTES_PER_BATCH = 4000, 4_000_000
 #: Texts of one batch are worked on in slices of about this many bytes (one text at least).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Largest list of ids that is broadcast; beyond it the same rows are found by a shuffle join.
 BROADCAST_ROWS = 2_000_000
 
@@ -93,6 +96,19 @@ def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "l
     return docs.join(ids.hint("shuffle_hash"), key, how)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives memory back to the system when it ends: workers live on into later stages."""
+
+    def lean_run(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return lean_run
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

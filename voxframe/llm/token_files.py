@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import scratch, tuned
+from voxframe.llm.common import lean, scratch, staged, tuned
 from voxframe.llm.words import word_encoder
 
 #: Id after the last token of each document.
@@ -30,19 +29,15 @@ def encode_texts(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
     tuned(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(path)
+        encoder, end = word_encoder(path), end_id.to_bytes(4, "little")
         for b in batches:
-            split = [(t or "").replace("\n", " ").split(" ") for t in b.column(1).to_pylist()]
-            words = set(chain.from_iterable(split))
-            encoder.learn(words)
-            known = encoder.memo.__getitem__
-            flat = [np.fromiter(chain(chain.from_iterable(map(known, x)), (end_id,)), np.int32) for x in split]
-            encoder.forget(words)
-            at = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
+            ids = [x + end for x in encoder.texts([t or "" for t in b.column(1).to_pylist()])]
+            at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+            flat = np.frombuffer(b"".join(ids), "<i4")
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> None:
@@ -54,7 +49,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    (encode_texts(ranged, path, end_id).write.option("compression", "zstd").option("orc.stripe.size", STRIPE_BYTES)
+    (encode_texts(ranged, path, end_id).write.option("compression", "lz4").option("orc.stripe.size", STRIPE_BYTES)
      .option("orc.row.index.stride", INDEX_ROWS).option("orc.bloom.filter.columns", "doc_id")
      .option("orc.bloom.filter.fpp", BLOOM_FPP).orc(folder))
 
@@ -81,7 +76,8 @@ def offsets(rows: DataFrame) -> DataFrame:
             crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64()), b.column(2)], ["doc_id", "n_tokens", "ids_crc32", "file"])
 
-    named = rows.select("doc_id", "ids", F.col("_metadata.file_name").alias("file")).mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, file string")
+    named = rows.select("doc_id", "ids", F.col("_metadata.file_name").alias("file")).mapInArrow(lean(digest), "doc_id long, n_tokens long, ids_crc32 long, file string")
+    named = staged(named, "ids-read")  # both uses below read this, not the files twice
     files = named.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("least"))
     before = Window.orderBy(F.col("least").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

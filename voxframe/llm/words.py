@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
-from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
 
 #: Name of the default vocabulary file; every operator takes a path instead.
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept per worker, and the longest word (in characters) that is kept. Both bound memory only.
-MOST_WORDS, LONGEST_WORD = 500_000, 64
+#: Words kept per worker (about 200 bytes each), and the longest one kept, in characters. Both bound memory only.
+MOST_WORDS, LONGEST_WORD = 1_000_000, 64
 #: Marks that the splitter parts from letters before them; the apostrophe, which it may not part, is left out.
+LAST_LATIN = "\u0250"  # letters below it are the same in every version of Unicode in use
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -39,6 +39,20 @@ def tokenizer(path: str | None = None):
     return t
 
 
+@lru_cache(maxsize=2)
+def letters_only(path: str | None = None):
+    """The same vocabulary and merges for runs of lower-case, composed Latin letters between blanks.
+
+    On those the normaliser changes nothing and the splitter leaves each run whole, so both are left out.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    t = Tokenizer.from_str(tokenizer(path).to_str())
+    t.normalizer = None
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return t
+
+
 class WordEncoder:
     """Encodes text word by word; a word is what stands between spaces and line feeds.
 
@@ -48,82 +62,78 @@ class WordEncoder:
     library, unseen runs of letters all in one call: each ends in the one token that has the word end.
     """
 
-    def __init__(self, path: str | None = None) -> None:
+    def __init__(self, path: str | None = None, most: int = MOST_WORDS) -> None:
+        self.most = most
         self.library = tokenizer(path)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.letters = letters_only(path)
+        self.memo: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
         vocab = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.numbers = list(range(len(self.ends) + 8))  # one object an id, shared by all memos
 
-    def learn(self, words) -> None:
-        """Encodes those of these words that the memo lacks, in one call."""
+    def learn(self, words: set[str]) -> None:
+        """Encodes those of these words that the memo lacks, in few calls."""
         memo = self.memo
-        new = {w for w in words if w not in memo}
-        if len(memo) + len(new) > MOST_WORDS:
+        new = words - memo.keys()
+        if len(memo) + len(new) > self.most:
             memo.clear()
-            new = set(words)
-        parted, plain, odd = [], set(), []
+            new = words
+        parted, plain, odd = [], set(), set()
         for w in new:
             stem = w.rstrip(MARKS)
-            if stem.isascii():
-                low = stem.lower()
-                fine = low.isalpha()
-            else:
-                low = stem
-                fine = stem.isalpha() and stem.lower().isalpha() and is_normalized("NFC", stem)
-            if fine:
-                parted.append((w, low, w[len(stem) :]))
+            low = stem.lower()
+            if low.isalpha() and (stem.isascii() or max(low) < LAST_LATIN and is_normalized("NFC", low)):
+                if low is not w and low != w:
+                    parted.append((w, low, w[len(stem) :]))
                 plain.add(low)
             else:
-                odd.append(w)
-        plain = [w for w in plain if w not in memo]
+                odd.add(w)
+        plain = list(plain - memo.keys())
         lines = [" ".join(plain[i : i + 200]) for i in range(0, len(plain), 200)]
-        got = [np.asarray(e.ids, np.int64) for e in self.library.encode_batch_fast(lines, add_special_tokens=False)]
-        got = np.concatenate(got) if got else np.zeros(0, np.int64)
-        stop = np.flatnonzero(self.ends[got]) + 1
-        if len(stop) != len(plain):  # cannot happen with a splitter as described above
+        got = [np.asarray(e.ids, "<u4") for e in self.letters.encode_batch_fast(lines, add_special_tokens=False)]
+        got = np.concatenate(got) if got else np.zeros(0, "<u4")
+        stop = 4 * (np.flatnonzero(self.ends[got]) + 1)
+        if len(stop) != len(plain):  # each run of letters ends in one token that has the word end
             raise ValueError("the vocabulary splits runs of letters")
-        numbers, flat, at = self.numbers, got.tolist(), 0
+        raw, at = got.tobytes(), 0
         for w, to in zip(plain, stop.tolist(), strict=True):
-            memo[w] = tuple([numbers[i] for i in flat[at:to]])
+            memo[w] = raw[at:to]
             at = to
-        odd += {x for _, _, x in parted if x and x not in memo}
+        odd = list(odd | {x for _, _, x in parted if x} - memo.keys())
         for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            memo[w] = tuple(e.ids)
+            memo[w] = np.asarray(e.ids, "<u4").tobytes()
         for w, low, x in parted:
-            if x or w != low:
-                memo[w] = memo[low] + memo[x] if x else memo[low]
+            memo[w] = memo[low] + memo[x] if x else memo[low]
 
-    def texts(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text."""
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, 4 bytes each."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set(chain.from_iterable(split))
+        words = set().union(*split)
         self.learn(words)
         known = self.memo.__getitem__
-        out = [list(chain.from_iterable(map(known, words))) for words in split]
+        out = [b"".join(map(known, words)) for words in split]
         self.forget(words)
         return out
 
-    def forget(self, words) -> None:
+    def forget(self, words: set[str]) -> None:
         """Drops overlong words from the memo."""
         for w in words:
             if len(w) > LONGEST_WORD:
                 self.memo.pop(w, None)
 
-    def word(self, w: str) -> tuple[int, ...]:
+    def word(self, w: str) -> bytes:
         """The ids of one word, long ones too."""
         got = self.memo.get(w)
         if got is None:
-            got = tuple(self.library.encode(w, add_special_tokens=False).ids)
+            got = np.asarray(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
             if len(w) <= LONGEST_WORD:
-                if len(self.memo) >= MOST_WORDS:
+                if len(self.memo) >= self.most:
                     self.memo.clear()
                 self.memo[w] = got
         return got
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str | None = None) -> WordEncoder:
+def word_encoder(path: str | None = None, most: int = MOST_WORDS) -> WordEncoder:
     """The worker's own encoder; it lives as long as the worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, most)
