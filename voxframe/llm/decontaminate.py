@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import keep_ids, slices, staged, tuned, utf8
+from voxframe.llm.common import keep_ids, lean, slices, staged, tuned, utf8
 
 #: Edits allowed for each byte of an item's normalised text.
 ERROR_RATE = 0.08
@@ -188,12 +188,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
             matcher = Matcher(sent.value, rate)
             for b in batches:
                 _, offsets = utf8(b.column(1))
-                for lo, hi in slices(offsets, 4_000_000):
+                for lo, hi in slices(offsets):
                     found = list(matcher.batch(*normal_texts(b.column(1).slice(lo, hi - lo))))
                     ids = b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                     yield pa.RecordBatch.from_arrays([pa.array([int(ids[r]) for r, _, _ in found], pa.int64()), pa.array([i for _, i, _ in found], pa.int64()), pa.array([d for _, _, d in found], pa.int64())], ["doc_id", "item_id", "distance"])
 
-        part = rows.mapInArrow(run, "doc_id long, item_id long, distance long")
+        part = rows.mapInArrow(lean(run), "doc_id long, item_id long, distance long")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, distance long")

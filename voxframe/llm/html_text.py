@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import tuned
+from voxframe.llm.common import lean, tuned
 
 #: Standard deviation of the smoothing, in lines, and the share of dense text that the content region must hold.
 SIGMA, REGION_SHARE = 1.5, 0.8
@@ -223,4 +223,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

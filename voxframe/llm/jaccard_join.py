@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import keep_ids, mix, random_words, slices, small_enough, staged, tuned, utf8
+from voxframe.llm.common import keep_ids, lean, mix, random_words, slices, small_enough, staged, tuned, utf8
 from voxframe.llm.components import components
 
 #: Words in a shingle, and the similarity of a link in hundredths.
@@ -80,6 +80,11 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> Iterato
             yield np.zeros(0, np.uint64)
 
 
+def sets_of(raw: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
+    """The sets of several texts, hashed a slice at a time."""
+    return [s for lo, hi in slices(offsets) for s in shingles(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)]
+
+
 def digest(own: np.ndarray) -> tuple[int, int]:
     """128 bits that equal sets share."""
     second = mix(own ^ _PLACE[15])
@@ -98,7 +103,7 @@ def _counted(docs: DataFrame, parts: int, size: int) -> DataFrame:
             raw, offsets = utf8(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for lo, hi in slices(offsets, COUNTED_BYTES):
-                sets = list(shingles(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size))
+                sets = sets_of(raw, offsets[lo : hi + 1], size)
                 sizes = np.array([len(s) for s in sets])
                 flat, of = np.concatenate(sets), np.repeat(np.arange(hi - lo), sizes)
                 order = np.argsort(flat)
@@ -165,7 +170,7 @@ def _counted(docs: DataFrame, parts: int, size: int) -> DataFrame:
                 shared[place] += n
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows[:4], shared)], ["doc_id", "n", "d1", "d2", "shared"])
 
-    told = docs.mapInArrow(send, "part int, slice long, rows binary").groupBy("part").applyInArrow(count, "slice long, own boolean, rows binary")
+    told = docs.mapInArrow(lean(send), "part int, slice long, rows binary").groupBy("part").applyInArrow(count, "slice long, own boolean, rows binary")
     return told.groupBy("slice").applyInArrow(merge, "doc_id long, n long, d1 long, d2 long, shared long")
 
 
@@ -179,7 +184,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 sets = list(shingles(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, tokens binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, tokens binary")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -194,7 +199,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 owner.append(np.full(k, doc, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner))], ["key", "doc_id"])
 
-    return sets.mapInArrow(run, "key long, doc_id long")
+    return sets.mapInArrow(lean(run), "key long, doc_id long")
 
 
 class SignatureTree:
@@ -343,7 +348,7 @@ def _links(members: DataFrame, percent: int, most: int) -> DataFrame:
             like = [linked(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(t, led, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("cluster", *columns, "leader")), pa.array(like, pa.bool_())], ["cluster", *columns, "leader", "like"])
 
-    told = staged(large.select("cluster", *columns).join(F.broadcast(leaders) if light else leaders, "cluster").mapInArrow(compare, "cluster long, doc_id long, n long, tokens binary, leader long, like boolean"), "led")
+    told = staged(large.select("cluster", *columns).join(F.broadcast(leaders) if light else leaders, "cluster").mapInArrow(lean(compare), "cluster long, doc_id long, n long, tokens binary, leader long, like boolean"), "led")
     stars = told.where("like").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
 
     # What the leader leaves is cut into blocks, by size; each is paired with itself and with every block that its sizes allow.

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import keep_ids, slices, small_enough, staged, tuned, utf8
+from voxframe.llm.common import keep_ids, lean, slices, small_enough, staged, tuned, utf8
 
 #: Bytes in an n-gram (at most 7), and shards of the model for each language.
 ORDER, SHARDS = 3, 8
@@ -90,7 +90,7 @@ def counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
         for lang, parts in total.items():
             yield rows(lang, parts)
 
-    return texts.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string")).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return texts.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string")).mapInArrow(lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def train(texts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -199,7 +199,7 @@ def _documents(docs: DataFrame, order: int, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["lang", "shard", "docs"])
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "lang string, shard int, docs binary")
+    return rows.mapInArrow(lean(run), "lang string, shard int, docs binary")
 
 
 def losses(docs: DataFrame, model: DataFrame, order: int = ORDER, n: int = SHARDS) -> DataFrame:
@@ -220,7 +220,7 @@ def losses(docs: DataFrame, model: DataFrame, order: int = ORDER, n: int = SHARD
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([lang] * len(ids), pa.string()), pa.array(total), pa.array(loss)], ["doc_id", "lang", "n", "loss"])
 
     joined = _documents(docs, order, n).join(shards(model, order, n), ["lang", "shard"]).select("lang", "docs", "model")
-    parts = joined.mapInArrow(run, "doc_id long, lang string, n long, loss double")
+    parts = joined.mapInArrow(lean(run), "doc_id long, lang string, n long, loss double")
     return parts.groupBy("doc_id", "lang").agg(F.sum("n").alias("n_grams"), F.sum("loss").alias("loss"))
 
 

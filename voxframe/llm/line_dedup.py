@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import scratch, tuned
+from voxframe.llm.common import lean, scratch, tuned
 
 #: Batches of a whole table, and runs of a level that are merged into one of the next.
 BATCHES, FANOUT = 4, 2
@@ -55,7 +55,7 @@ def line_hashes(docs: DataFrame) -> DataFrame:
             h = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(owner, pa.int64())], ["h1", "h2", "doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "h1 long, h2 long, doc_id long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "h1 long, h2 long, doc_id long")
 
 
 class LineRuns:
@@ -165,7 +165,7 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_dropped"])
 
     tuned(spark)
-    return docs.join(lost.hint("shuffle_hash"), "doc_id", "left").select(*names, "keys").mapInArrow(run, f"{schema}, n_lines long, n_dropped long")
+    return docs.join(lost.hint("shuffle_hash"), "doc_id", "left").select(*names, "keys").mapInArrow(lean(run), f"{schema}, n_lines long, n_dropped long")
 
 
 def report(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import tuned
+from voxframe.llm.common import lean, tuned
 
 #: Payloads are filled up with FILL to a positive multiple of UNIT bytes.
 UNIT, FILL = 192, b" "
@@ -262,7 +262,7 @@ def to_audio(docs: DataFrame) -> DataFrame:
                 media.append(write_audio(raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), FILL)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def described(files: DataFrame) -> DataFrame:
@@ -287,4 +287,4 @@ def described(files: DataFrame) -> DataFrame:
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names)
 
-    return files.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return files.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), schema)

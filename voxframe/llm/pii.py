@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import tuned
+from voxframe.llm.common import lean, tuned
 
 KINDS = ("email", "ip", "card", "phone")
 #: Window and step in characters, and windows that are scored at once.
@@ -431,4 +431,4 @@ def find_personal(docs: DataFrame, seed: int = 5) -> DataFrame:
             digests = pa.array([hashlib.sha256(as_text(own).encode()).hexdigest() for own, _ in rows], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, digests, pa.array([as_text(s) for _, s in rows], pa.string()), pa.array([len(s) - len(own) for own, s in rows], pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
