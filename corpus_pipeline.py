@@ -21,8 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without lines that a smaller doc_id holds; n_chars is counted anew."""
     columns = docs.columns
-    kept = line_dedup.dedup_lines(docs)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    apart = docs.toDF(*[c if c in ("doc_id", "text") else f"own_{i}" for i, c in enumerate(columns)])  # names that the operator adds may be taken
+    kept = line_dedup.dedup_lines(apart).select(*apart.columns).toDF(*columns)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
