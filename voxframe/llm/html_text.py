@@ -23,6 +23,8 @@ from voxframe.llm.common import lean, tuned
 
 #: Standard deviation of the smoothing, in lines, and the share of dense text that the content region must hold.
 SIGMA, REGION_SHARE = 1.5, 0.8
+#: Times that dense lines must exceed sparse ones on average for the split to mean anything.
+SPREAD = 2.0
 #: Longest run of sparse lines between dense ones that is kept where no element marks the article.
 GAP = 3
 
@@ -38,6 +40,7 @@ HINTS = re.compile(
     r"ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
     r"comments?|comment-?list|respond|replies|discussion|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|"
     r"pagination|pager|toolbar|copyright|legal|skip-?link|contentinfo|complementary)(?=$|[\s_-])", re.I)
+CONTENT = re.compile(r"(?:^|[\s_-])(?:content|article|post|story|entry|main|body|text|page|blog)(?=$|[\s_-])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -49,6 +52,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, bool]] = []
         self.parents, self.names = [-1], ["root"]
+        self.named = [False]  # whether a container's class or id says that it holds the content
         self.stack = [(0, "root", False)]  # container, element, noise
         self.raw: list[str] = []
         self.text: list[str] = []
@@ -100,6 +104,7 @@ class Lines(HTMLParser):
             noise = True
         self.parents.append(self.stack[-1][0])
         self.names.append(tag)
+        self.named.append(tag in ("div", "section") and any(CONTENT.search(v or "") for k, v in attrs if k in ("class", "id", "itemprop")))
         self.stack.append((len(self.parents) - 1, tag, noise))
 
     def handle_endtag(self, tag: str) -> None:
@@ -157,6 +162,15 @@ def threshold(values: np.ndarray) -> float:
     return t
 
 
+def dense_lines(ratio: np.ndarray) -> np.ndarray:
+    """The lines above the threshold; all of them if the two sides differ by less than SPREAD."""
+    t = threshold(ratio)
+    high, low = ratio[ratio > t], ratio[ratio <= t]
+    if not len(high) or not len(low) or high.mean() < SPREAD * low.mean():
+        return np.ones(len(ratio), bool)
+    return ratio > t
+
+
 def extract(html: str | None) -> str:
     """The main text of one page; empty if it has none."""
     parser = Lines()
@@ -168,9 +182,7 @@ def extract(html: str | None) -> str:
     if not lines:
         return ""
     ratio = smoothed(np.array([len(text) * (1 - linked / max(1, len(text))) / tags for text, tags, linked, _, _ in lines]))
-    dense = ratio > threshold(ratio) if len(lines) > 1 else np.ones(1, bool)
-    if not dense.any():
-        dense[:] = True
+    dense = dense_lines(ratio)
     parents, names = parser.parents, parser.names
     weight = np.zeros(len(parents))
     for (text, _, _, node, _), d in zip(lines, dense, strict=True):
@@ -185,6 +197,10 @@ def extract(html: str | None) -> str:
     up = region
     while up > 0 and names[up] not in MARKED:
         up = parents[up]
+    if up == 0:
+        up = region
+        while up > 0 and not parser.named[up]:
+            up = parents[up]
     if up > 0:
         region = up
     elif marked and (best := max(marked, key=lambda i: weight[i])) and weight[best] > 0:
@@ -194,7 +210,7 @@ def extract(html: str | None) -> str:
     for node in range(region + 1, len(parents)):
         inside[node] = inside[parents[node]]
     keep = np.array([inside[node] for _, _, _, node, _ in lines])
-    if names[region] not in MARKED:  # nothing says where the article is: dense lines, and short gaps between them
+    if names[region] not in MARKED and not parser.named[region]:  # nothing says where the article is: dense lines, and short gaps between them
         at = np.flatnonzero(dense & keep)
         near = np.zeros(len(lines), bool)
         near[at] = True
