@@ -133,7 +133,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "ids"])
 
-    return docs.mapInArrow(lean(run), f"{schema}, ids array<int>")
+    return docs.mapInArrow(lean(run, False), f"{schema}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -178,4 +178,4 @@ def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False)
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), kinds)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, False), kinds)

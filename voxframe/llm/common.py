@@ -29,11 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tuned(spark: SparkSession) -> SparkSession:
+def tuned(spark: SparkSession, batch_bytes: int = BYTES_PER_BATCH) -> SparkSession:
     """Bounds the Arrow batches of this session and sends the package's code to the executors, once."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     return spark
 
 
@@ -46,7 +46,10 @@ def scratch(spark: SparkSession, what: str) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="voxframe-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)  # when the application ends
+    return folder
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
@@ -79,11 +82,19 @@ def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "l
     return docs.join(ids.hint("shuffle_hash"), key, how)
 
 
-def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A task's function that gives memory back to the system when it ends: workers live on into later stages."""
+def lean(run: Callable[[Iterator], Iterator], cycles: bool = True) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives memory back to the system when it ends: workers live on into later stages.
+
+    Without cycles the search for cyclic garbage, slow beside millions of words, waits until then.
+    """
 
     def lean_run(batches: Iterator) -> Iterator:
-        yield from run(batches)
+        if not cycles:
+            gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
         gc.collect()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):

@@ -20,6 +20,8 @@ from voxframe.llm.words import word_encoder
 
 #: Id after the last token of each document.
 END_ID = 2
+#: Bytes of text that are encoded at once: the more, the fewer words are looked up twice.
+WRITE_BYTES = 8_000_000
 #: Writer settings: stripe size, rows between two entries of the row index, false positives of the Bloom filters.
 STRIPE_BYTES, INDEX_ROWS, BLOOM_FPP = 16 << 20, 1000, 0.01
 
@@ -37,19 +39,36 @@ def encode_texts(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, False), "doc_id long, ids array<int>")
+
+
+def in_order(docs: DataFrame) -> bool:
+    """Whether each partition's doc_ids lie after those of all before it, or can be taken in such an order.
+
+    Reads the ids alone; what is compared is a row a partition. Null ids, which come first, count as out of order.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.spark_partition_id().alias("part"))
+    parts = ids.groupBy("part").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count_if(F.col("doc_id").isNull()).alias("none"))
+    after = Window.orderBy("low", "high")
+    wrong = parts.select("none", (F.col("high") > F.lead("low").over(after)).alias("crossed"))
+    return not wrong.where("none > 0 OR crossed").limit(1).count()
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> None:
     """Writes the ids of all documents to ORC files in `folder`, in ascending doc_id order from file to file.
 
-    One shuffle, of the texts by ranges of doc_id (evenly sized whatever the ids); the ids are made after
-    it and go straight to the writer. Null texts hold the end id alone; repeated doc_ids stand side by side.
+    Documents whose partitions are in order already, as those of a sorted table are, stay where they lie;
+    others are shuffled once, by ranges of doc_id (evenly sized whatever the ids). The ids are made after
+    that and go straight to the writer. Null texts hold the end id alone; repeated doc_ids stand side by side.
     """
     spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    (encode_texts(ranged, path, end_id).write.option("compression", "lz4").option("orc.stripe.size", STRIPE_BYTES)
+    ranged = docs.select("doc_id", "text")
+    if not in_order(ranged):
+        ranged = ranged.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
+    ranged = ranged.sortWithinPartitions("doc_id")
+    encoded = encode_texts(ranged, path, end_id)
+    tuned(spark, WRITE_BYTES)
+    (encoded.write.option("compression", "lz4").option("orc.stripe.size", STRIPE_BYTES)
      .option("orc.row.index.stride", INDEX_ROWS).option("orc.bloom.filter.columns", "doc_id")
      .option("orc.bloom.filter.fpp", BLOOM_FPP).orc(folder))
 
@@ -78,9 +97,11 @@ def offsets(rows: DataFrame) -> DataFrame:
 
     named = rows.select("doc_id", "ids", F.col("_metadata.file_name").alias("file")).mapInArrow(lean(digest), "doc_id long, n_tokens long, ids_crc32 long, file string")
     named = staged(named, "ids-read")  # both uses below read this, not the files twice
-    files = named.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("least"))
-    before = Window.orderBy(F.col("least").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    files = named.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    order = Window.orderBy(F.col("least").asc_nulls_first(), F.col("most").asc_nulls_first(), "file")
+    crossed = F.coalesce(F.lag("most").over(order) > F.col("least"), F.lit(False))
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select("file", F.when(crossed, F.raise_error(F.lit("files of ids are not in the order of doc_id")).cast("long")).otherwise(before).alias("before"))
     inside = Window.partitionBy("file").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     return (named.withColumn("own", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(files, "file")
             .select("doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32"))
