@@ -8,11 +8,13 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from voxframe.engines.features import extractor
 from voxframe.functions.scalar import AXES
 from voxframe.operators.tiling import Grid, depth
-from voxframe.plans import config, costs, groupwise
+from voxframe.plans import config, costs, groupwise, reports
 from voxframe.session import session
 from voxframe.sources import volumes as V
+from voxframe.sources.formats import open_volume
 
 
 def _arguments() -> argparse.ArgumentParser:
@@ -51,6 +53,10 @@ def _arguments() -> argparse.ArgumentParser:
     export.add_argument("table")
     export.add_argument("out")
     sub.add_parser("check", help="read settings and print them").add_argument("settings")
+    sub.add_parser("selftest", help="check conventions on small arrays")
+    features = sub.add_parser("features", help="metrics of a volume's feature channels")
+    features.add_argument("volume")
+    features.add_argument("--spec", default="mind")
     return top
 
 
@@ -65,6 +71,13 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "check":
         print(config.dump(settings))
         return 0
+    if a.command == "selftest":
+        found = reports.selftest()
+        print(json.dumps(found, indent=2))
+        return int(not all(found.values()))
+    if a.command == "features":
+        print(json.dumps(reports.feature_metrics(extractor(a.spec), open_volume(a.volume, Path(a.volume).read_bytes()).data.astype(float))))
+        return 0
     spark = session()
     if a.command == "plan":
         costs.plan(spark, Grid(tuple(a.shape), a.spacing), costs.Profile(), a.subjects, tuple(a.caps)).orderBy("level").show(truncate=False)

@@ -580,3 +580,95 @@ def pending_anti(spark: SparkSession, sf: str) -> DataFrame:
     """Tasks without a completed record."""
     c = T.cohort(spark, sf)
     return costs.pending(c.select("subject", "z", "y").distinct(), c.where("v > 45"), ("subject", "z", "y"))
+
+
+@query(f"""WITH {VOL}, c AS (SELECT CAST(floor(z / 8.0) AS INT) AS iz, floor(y / 8.0) AS iy, floor(x / 8.0) AS ix, avg(v) AS m FROM vol GROUP BY 1, 2, 3) SELECT count(*) AS chunks, count(*) FILTER (m >= 250000) AS tissue_chunks FROM c""")
+def chunk_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many chunks there are, and how many of them a pass would solve."""
+    from voxframe.plans.reports import chunk_counts as counts
+
+    return counts(T.volume(spark, sf), CORE, 250000)
+
+
+@query(f"""WITH {VOL}, l AS (SELECT CAST(unnest(range(3)) AS INT) AS level, nz FROM dims), g AS (SELECT level, CAST(ceil(nz / pow(2, level)) AS INT) AS nz, CAST(ceil(20 / pow(2, level)) AS INT) AS ny, CAST(ceil(25 / pow(2, level)) AS INT) AS nx FROM l),
+d AS (SELECT * FROM (VALUES ('b', 10, 13), ('a', 10, 13), ('c', 5, 7), ('x', 1, 1)) t(path, ny, nx)) SELECT g.level, min(d.path) AS path FROM g LEFT JOIN d ON d.ny = g.ny AND d.nx = g.nx GROUP BY g.level""")
+def link_by_shape(spark: SparkSession, sf: str) -> DataFrame:
+    """Which stored dataset, if any, can stand for each level: the first of the same size."""
+    from voxframe.sources.volumes import match_levels
+
+    levels = tiling.grids(spark, Grid(T.shape(spark, sf), SPACING), CORE).where("level < 3")
+    sizes = spark.createDataFrame([("b", 10, 13), ("a", 10, 13), ("c", 5, 7), ("x", 1, 1)], "path string, ny int, nx int")
+    every = sizes.crossJoin(F.broadcast(levels.select("nz").distinct()))
+    whole = spark.range(3).select(F.col("id").cast("int").alias("level")).join(levels, "level", "left")
+    return match_levels(whole, every).select("level", "path")
+
+
+@query(f"""WITH {VOL}, lat AS (SELECT CAST(floor(z / 2.0) AS INT) AS z, CAST(floor(y / 2.0) AS INT) AS y, CAST(floor(x / 2.0) AS INT) AS x, avg(v) AS v, max(CASE WHEN z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0 THEN v END) AS w FROM vol GROUP BY 1, 2, 3)
+SELECT round(max(abs(v - w)), 6) AS worst FROM lat""")
+def pyramid_check(spark: SparkSession, sf: str) -> DataFrame:
+    """How far a subsampled level is from the mean of the level below: what tells a pyramid of means from one of samples."""
+    v = T.volume(spark, sf)
+    picked = v.where("z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0").select(*[F.floor(F.col(a) / 2).cast("int").alias(a) for a in AXES], F.col("v").alias("w"))
+    return rounded(pooling.pool(v, 2).join(picked, list(AXES)).agg(F.max(F.abs(F.col("v") - F.col("w"))).alias("worst")), "worst")
+
+
+@query(f"SELECT date_trunc('day', ts) AS start, {_BIN.format(v='value')} AS bin, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """The histogram of each day: what the stream keeps as state."""
+    from voxframe.streaming.sketches import windowed_histogram as sketch
+
+    return sketch(T.table(spark, sf, "events"), "ts", "value", "1 day")
+
+
+@query("""WITH l AS (SELECT CAST(o_custkey % 5 AS INT) AS level, count(*) AS chunks, count(*) FILTER (o_totalprice > 150000) AS tissue_chunks FROM orders GROUP BY 1) SELECT level, chunks, tissue_chunks, CAST(level + 1 AS BIGINT) AS passes, round((level + 1) * (tissue_chunks * 30.0 + (chunks - tissue_chunks) * 1.5) / 3600 / 8, 9) AS hours FROM l""")
+def estimate_hours(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours of each level when chunks with and without tissue cost differently."""
+    o = T.table(spark, sf, "orders").groupBy((F.col("o_custkey") % 5).cast("int").alias("level"))
+    levels = o.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("o_totalprice") > 150000).alias("tissue_chunks"))
+    return rounded(costs.hours(levels.withColumn("passes", (F.col("level") + 1).cast("long")), 30.0, 1.5, 8), "hours", digits=9)
+
+
+@query(f"""WITH {VOL}, {FIELDS}, {_field_sql(1)}, m AS (SELECT z, y, x, CAST(0.23719 AS DOUBLE) * uz AS uz, CAST(-0.23719 AS DOUBLE) * uy AS uy, CAST(0.23719 AS DOUBLE) * ux AS ux FROM f1), p AS (SELECT *, z + uz / 0.05 AS cz, y + uy / 0.05 AS cy, x + ux / 0.05 AS cx FROM m)
+SELECT 1 AS subject, z, y, x, round(uz + guz, 6) AS uz, round(uy + guy, 6) AS uy, round(ux + gux, 6) AS ux FROM ({_gather_sql('p', 'f1', 'z, y, x, uz, uy, ux', VECTOR, 'nearest', hide='g')})""", signed=VECTOR)
+def settle_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """A subject's field with the template's last motion composed in."""
+    f = T.field(spark, sf)
+    motion = f.select(*AXES, (0.23719 * F.col("uz")).alias("uz"), (-0.23719 * F.col("uy")).alias("uy"), (0.23719 * F.col("ux")).alias("ux"))
+    own = f.select(F.lit(1).alias("subject"), *AXES, *VECTOR)
+    return rounded(blending.settled(own, motion, T.shape(spark, sf), SPACING, ("subject",)), *VECTOR)
+
+
+@query()
+def self_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Twelve feature channels of each chunk's padded box, reduced to their mean: arrays inside, one group a chunk."""
+    import numpy as np
+    import pandas as pd
+
+    from voxframe.engines.features import SelfSimilarity
+    from voxframe.session import ship
+
+    ship(spark)
+    parts = tiling.halo_expand(T.volume(spark, sf), T.shape(spark, sf), CORE, HALO)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        place = [rows[a].to_numpy() - rows[a].min() for a in AXES]
+        box = np.zeros([int(p.max()) + 1 for p in place])
+        box[tuple(place)] = rows["v"].to_numpy()
+        means = SelfSimilarity()(box).mean((1, 2, 3))
+        return pd.DataFrame({"chunk_id": rows["chunk_id"].iloc[0], "channel": np.arange(12, dtype="int32"), "mean": means.round(6)})
+
+    return parts.groupBy("chunk_id").applyInPandas(one, "chunk_id int, channel int, mean double")
+
+
+@query()
+def register_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """One pass of the chunk solver on the volume and a copy moved by a voxel: a record for each chunk."""
+    from voxframe.plans import config, groupwise
+
+    shape = (min(16, T.shape(spark, sf)[0]), *T.shape(spark, sf)[1:])
+    fixed = T.volume(spark, sf).where(F.col("z") < shape[0]).withColumn("v", F.col("v") / 300000)
+    moving = stencil.shift(fixed, (0, 1, 0), shape).select(F.lit(1).alias("subject"), *AXES, "v")
+    still = moving.select("subject", *AXES, *[F.lit(0.0).alias(u) for u in VECTOR])
+    run = config.load({"tiling": {"core": 16, "halo": 8}, "solver": {"stages": [{"scales": [1], "iterations": [4]}]}})
+    solved = groupwise.register(fixed, moving, still, Grid(shape, SPACING), run, 0, 0, False)
+    return solved.where("kind = 'r'").select("chunk_id", "subject", "reason", "retries", F.round("tissue_fraction", 6).alias("tissue_fraction"), F.round("folds", 6).alias("folds"))
