@@ -565,7 +565,7 @@ def plan_cost(spark: SparkSession, sf: str) -> DataFrame:
     return p.withColumns({"work": F.round(F.col("work") / 1e9, 3), "gpu_hours": F.round("gpu_hours", 3), "share": F.round("share", 6)})
 
 
-@query("""WITH d AS (SELECT * FROM (VALUES ('a', 20.0), ('b', 40.0), ('c', 80.0), ('d', 160.0)) t(path, voxel_um)), l AS (SELECT DISTINCT CAST(p_size AS INT) AS level, 5.0 * p_size AS um FROM part WHERE p_size <= 50)
+@query("""WITH d AS (SELECT * FROM (VALUES ('a', 20.0), ('b', 40.0), ('c', 80.0), ('d', 160.0)) t(path, voxel_um)), l AS (SELECT DISTINCT CAST(p_size AS INT) AS level, CAST(5 * p_size AS DOUBLE) AS um FROM part WHERE p_size <= 50)
 SELECT level, um, coalesce((SELECT path FROM d WHERE voxel_um <= um * (1 + 1e-6) ORDER BY voxel_um DESC LIMIT 1), 'a') AS path FROM l""")
 def as_of_dataset(spark: SparkSession, sf: str) -> DataFrame:
     """For each level the coarsest dataset that is no coarser than it."""
