@@ -16,11 +16,16 @@ def sample(volume: np.ndarray, places: np.ndarray, boundary: str = "constant", c
     low = np.minimum(np.floor(at).astype(np.int64), np.maximum(far - 1, 0))
     part = at - low
     high = np.minimum(low + 1, far)
+    flat = np.ascontiguousarray(volume).reshape(*volume.shape[:-3], -1)
+    strides = (int(shape[1] * shape[2]), int(shape[2]), 1)
+    keys = [[low[d] * s, high[d] * s] for d, s in enumerate(strides)]
+    rest = [[1 - part[d], part[d]] for d in range(3)]
     out = np.zeros(volume.shape[:-3] + places.shape[1:])
-    for corner in range(8):
-        pick = [high[d] if corner >> d & 1 else low[d] for d in range(3)]
-        weight = np.prod([part[d] if corner >> d & 1 else 1 - part[d] for d in range(3)], axis=0)
-        out += volume[..., pick[0], pick[1], pick[2]] * weight
+    for cz in (0, 1):
+        for cy in (0, 1):
+            key, weight = keys[0][cz] + keys[1][cy], rest[0][cz] * rest[1][cy]
+            for cx in (0, 1):
+                out += np.take(flat, key + keys[2][cx], axis=-1) * (weight * rest[2][cx])
     return out if boundary == "nearest" else np.where(inside, out, cval)
 
 
@@ -53,7 +58,12 @@ def separable(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
         pad = [(0, 0)] * a.ndim
         pad[axis] = (r, r)
         wide, n = np.pad(a, pad, mode="edge"), a.shape[axis]
-        a = sum(k * np.take(wide, np.arange(i, i + n), axis) for i, k in enumerate(kernel))
+        at = [slice(None)] * a.ndim
+        out = np.zeros(a.shape)
+        for i, k in enumerate(kernel):
+            at[axis] = slice(i, i + n)
+            out += k * wide[tuple(at)]
+        a = out
     return a
 
 
