@@ -139,8 +139,11 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def shards(model: DataFrame, order: int = ORDER, n: int = SHARDS) -> DataFrame:
-    """(lang, shard, model): the model packed by the last byte of the context; the few unigrams are in each shard."""
+def shards(model: DataFrame, order: int = ORDER, n: int = SHARDS, copies: int = 1) -> DataFrame:
+    """(lang, shard, salt, model): the model packed by the last byte of the context; the few unigrams are in each shard.
+
+    Each shard comes in so many copies, told apart by their salt, that a language's documents can be dealt evenly.
+    """
     tuned(model.sparkSession)
     last = F.when(F.col("p").isNull(), F.col("key").bitwiseAND(255)).otherwise(F.shiftright("key", 8).bitwiseAND(255))
     every = F.sequence(F.lit(0), F.lit(n - 1))
@@ -155,7 +158,8 @@ def shards(model: DataFrame, order: int = ORDER, n: int = SHARDS) -> DataFrame:
                 arrays += [some["key"].to_numpy("<i8"), np.log(some[value].to_numpy("<f8"))]
         return pd.DataFrame({"lang": group.lang.iloc[:1], "shard": group.shard.iloc[:1], "model": [_pack(*arrays)]})
 
-    return rows.groupBy("lang", "shard").applyInPandas(pack, "lang string, shard int, model binary")
+    packed = rows.groupBy("lang", "shard").applyInPandas(pack, "lang string, shard int, model binary")
+    return packed.select("lang", "shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("salt"), "model")
 
 
 def log_p(model: list[np.ndarray], grams_: np.ndarray, order: int) -> np.ndarray:
@@ -172,8 +176,8 @@ def log_p(model: list[np.ndarray], grams_: np.ndarray, order: int) -> np.ndarray
     return out
 
 
-def _documents(docs: DataFrame, order: int, n: int) -> DataFrame:
-    """(lang, shard, docs): sparse n-gram counts of a slice of documents, those of one shard."""
+def _documents(docs: DataFrame, order: int, n: int, copies: int) -> DataFrame:
+    """(lang, shard, salt, docs): sparse n-gram counts of a slice of documents, those of one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,7 +189,7 @@ def _documents(docs: DataFrame, order: int, n: int) -> DataFrame:
                 row, g = grams(raw, offsets[lo : hi + 1], order)
                 both, times = np.unique((row << 8 * order) | g, return_counts=True)
                 row, g = both >> 8 * order, both & ((1 << 8 * order) - 1)
-                code = (g >> 8 & 255) % n
+                code, salt = (g >> 8 & 255) % n, int(ids[lo]) % copies
                 for lang in set(langs[lo:hi]):
                     of = (langs[lo:hi] == lang)[row]
                     for s in range(n):
@@ -195,11 +199,11 @@ def _documents(docs: DataFrame, order: int, n: int) -> DataFrame:
                             words, at = np.unique(gram, return_inverse=True)
                             there, each = np.unique(r, return_counts=True)
                             step = np.diff(at, prepend=0).astype("<i4")
-                            out.append((lang, s, _pack(ids[lo:hi][there].astype("<i8"), each.astype("<i8"), words.astype("<i8"), step, t.astype("<i4"))))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["lang", "shard", "docs"])
+                            out.append((lang, s, salt, _pack(ids[lo:hi][there].astype("<i8"), each.astype("<i8"), words.astype("<i8"), step, t.astype("<i4"))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.binary())], ["lang", "shard", "salt", "docs"])
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string"))
-    return rows.mapInArrow(lean(run), "lang string, shard int, docs binary")
+    return rows.mapInArrow(lean(run), "lang string, shard int, salt int, docs binary")
 
 
 def losses(docs: DataFrame, model: DataFrame, order: int = ORDER, n: int = SHARDS) -> DataFrame:
@@ -219,7 +223,8 @@ def losses(docs: DataFrame, model: DataFrame, order: int = ORDER, n: int = SHARD
                 total = np.add.reduceat(times.astype(np.int64), starts)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([lang] * len(ids), pa.string()), pa.array(total), pa.array(loss)], ["doc_id", "lang", "n", "loss"])
 
-    joined = _documents(docs, order, n).join(shards(model, order, n), ["lang", "shard"]).select("lang", "docs", "model")
+    copies = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n)
+    joined = _documents(docs, order, n, copies).join(shards(model, order, n, copies), ["lang", "shard", "salt"]).select("lang", "docs", "model")
     parts = joined.mapInArrow(lean(run), "doc_id long, lang string, n long, loss double")
     return parts.groupBy("doc_id", "lang").agg(F.sum("n").alias("n_grams"), F.sum("loss").alias("loss"))
 
