@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import duck_rows, spark_rows
 from voxframe.llm import bpe_chunks, components, decontaminate, html_text, jaccard_join, kneser_ney, line_dedup, mpeg_audio, pii, queries, quotes, token_files, words
@@ -128,6 +129,7 @@ BODY = "".join(f"<p>Sentence number {i} of an article that goes on for some whil
     ('<div id="menu"><a href=x>Home</a><a href=y>News</a></div>', '<div class="comments"><p>' + "nice post " * 30 + "</p></div>"),
     ("<header><h2>Site</h2></header><nav><ul><li><a href=q>One</a></ul></nav>", "<footer>Imprint</footer>"),
     ('<div class="cookie-notice">We use cookies ' + "and more " * 30 + "</div>", '<aside class="sidebar">Other ' + "things " * 20 + "</aside>"),
+    ('<div class="header"><p>Welcome to our pages</p></div><p class="notice">We have moved.<p style="display:none">secret</p>', '<ol class="comment-list"><li>First!</li></ol><ul><li class="ad">Buy</li></ul>'),
     ('<form><label>Mail</label><input name=m><textarea>write here</textarea></form><script>var x = "<p>no</p>";</script>', '<div class="ad banner">Buy now</div><!-- no -->'),
 ])
 def test_html_regions(before, after):
@@ -406,6 +408,8 @@ def test_words_and_chunks_equal_the_library():
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     flat = lambda rows: [np.frombuffer(x, "<u4").tolist() for x in rows]
     assert flat(words.WordEncoder().texts(texts)) == want
+    ids, at = words.ColumnEncoder().column(pa.array([*texts, None]))
+    assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == [*want, []]
     encoder = bpe_chunks.ChunkEncoder()
     assert flat(encoder.batch(pa.array(texts))) == want
     assert flat(encoder.batch(pa.array(texts))) == want and encoder.reused > encoder.met // 3
@@ -452,6 +456,20 @@ def test_token_files(spark, tmp_path):
     assert token_files.written_and_read(df.limit(0)).count() == 0
 
 
+def test_token_files_with_and_without_a_shuffle(spark, tmp_path):
+    texts = [f"text number {i} " * (i % 7) for i in range(200)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    random.Random(0).shuffle(rows)
+    mixed = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    sorted_ = mixed.repartitionByRange(5, "doc_id")
+    assert not token_files.in_order(mixed) and token_files.in_order(sorted_)
+    got = [sorted(map(tuple, token_files.written_and_read(d).collect())) for d in (mixed, sorted_)]
+    assert got[0] == got[1] and len(got[0]) == 200
+    mixed.select("doc_id", F.array(F.lit(2)).alias("ids")).write.orc(f"{tmp_path}/wrong")
+    with pytest.raises(Exception, match="order of doc_id"):
+        token_files.offsets(token_files.read(spark, f"{tmp_path}/wrong")).collect()
+
+
 # --- decontamination --------------------------------------------------------------------------------------------
 
 

@@ -34,6 +34,7 @@ NOISE = frozenset("nav aside footer form dialog menu".split())
 MARKED = frozenset("article main".split())
 CONTAINERS = frozenset("html body div section article main header nav aside footer form dialog menu ul ol dl table tbody thead tr td th blockquote figure details fieldset".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address figcaption caption summary legend center".split())
+SINGLES = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 pre address figcaption caption summary".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HINTS = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|foot|masthead|site-?header|page-?header|top-?bar|sidebar|side|aside|widgets?|"
@@ -41,6 +42,8 @@ HINTS = re.compile(
     r"comments?|comment-?list|respond|replies|discussion|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|"
     r"pagination|pager|toolbar|copyright|legal|skip-?link|contentinfo|complementary)(?=$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:content|article|post|story|entry|main|body|text|page|blog)(?=$|[\s_-])", re.I)
+COMMENT = re.compile(r"(?:^|[\s_-])comments?(?=$|[\s_-])", re.I)
+HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -86,7 +89,14 @@ class Lines(HTMLParser):
         if tag not in BLOCKS:
             return
         self.flush()
-        if tag in ("td", "th", "tbody", "thead", "html") or tag not in CONTAINERS:
+        last = self.stack[-1][1]
+        if last == "p" or last == tag and tag in SINGLES:  # such elements end where the next one begins
+            self.stack.pop()
+        if tag in ("td", "th", "tbody", "thead", "html"):
+            return
+        if tag not in CONTAINERS:
+            if attrs and self.hinted(tag, attrs):
+                self.push(tag, True, attrs)
             return
         self.links = 0
         if tag in MARKED:  # an article inside a menu means that the menu was not closed
@@ -94,14 +104,25 @@ class Lines(HTMLParser):
                 if element in NOISE:
                     del self.stack[i:]
                     break
-        noise = self.stack[-1][2] or tag in NOISE
-        if not noise and attrs:
-            said = dict(attrs)
-            hint = " ".join(said.get(k) or "" for k in ("class", "id", "role"))
-            noise = "hidden" in said or said.get("aria-hidden") == "true" or tag not in ("body", "article", "main") and bool(HINTS.search(hint)) or bool(HIDDEN.search(said.get("style") or ""))
-            noise = noise or tag == "article" and re.search(r"(?:^|[\s_-])comments?(?=$|[\s_-])", hint, re.I) is not None
-        if tag == "header" and not any(e in MARKED for _, e, _ in self.stack):
-            noise = True
+        self.push(tag, self.stack[-1][2] or tag in NOISE or bool(attrs) and self.hinted(tag, attrs) or tag == "header" and not self.marked(), attrs)
+
+    def marked(self) -> bool:
+        """Whether an article is open."""
+        return any(e in MARKED for _, e, _ in self.stack)
+
+    def hinted(self, tag: str, attrs: list) -> bool:
+        """Whether attributes say that an element is no content."""
+        said = dict(attrs)
+        if "hidden" in said or said.get("aria-hidden") == "true" or HIDDEN.search(said.get("style") or ""):
+            return True
+        hint = " ".join(said.get(k) or "" for k in ("class", "id", "role"))
+        if tag in ("body", "main"):
+            return False
+        if tag == "article":
+            return COMMENT.search(hint) is not None
+        return HINTS.search(hint) is not None or HEADER.search(hint) is not None and not self.marked()
+
+    def push(self, tag: str, noise: bool, attrs: list) -> None:
         self.parents.append(self.stack[-1][0])
         self.names.append(tag)
         self.named.append(tag in ("div", "section") and any(CONTENT.search(v or "") for k, v in attrs if k in ("class", "id", "itemprop")))
@@ -117,7 +138,7 @@ class Lines(HTMLParser):
             self.links = max(0, self.links - 1)
         elif tag in BLOCKS:
             self.flush()
-            if tag in CONTAINERS:
+            if tag in CONTAINERS or tag in SINGLES:
                 for i in range(len(self.stack) - 1, 0, -1):
                     if self.stack[i][1] == tag:
                         del self.stack[i:]
