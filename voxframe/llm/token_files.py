@@ -16,27 +16,39 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxframe.llm.common import lean, scratch, staged, tuned
-from voxframe.llm.words import word_encoder
+from voxframe.llm.words import column_encoder
 
 #: Id after the last token of each document.
 END_ID = 2
 #: Bytes of text that are encoded at once: the more, the fewer words are looked up twice.
-WRITE_BYTES = 8_000_000
+WRITE_BYTES = 16_000_000
 #: Writer settings: stripe size, rows between two entries of the row index, false positives of the Bloom filters.
 STRIPE_BYTES, INDEX_ROWS, BLOOM_FPP = 16 << 20, 1000, 0.01
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold about `most` bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def encode_texts(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """doc_id, ids (array of int): the whole text's ids, then the end id. Null text counts as empty."""
     tuned(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = word_encoder(path), end_id.to_bytes(4, "little")
-        for b in batches:
-            ids = [x + end for x in encoder.texts([t or "" for t in b.column(1).to_pylist()])]
-            at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            flat = np.frombuffer(b"".join(ids), "<i4")
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
+        encoder = column_encoder(path)
+        for b in gathered(batches, WRITE_BYTES):
+            ids, at = encoder.column(b.column(1))
+            n = len(at) - 1
+            flat = np.insert(ids, at[1:], end_id)
+            lists = pa.ListArray.from_arrays(pa.array((at + np.arange(n + 1)).astype(np.int32)), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, False), "doc_id long, ids array<int>")
@@ -66,9 +78,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     if not in_order(ranged):
         ranged = ranged.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
     ranged = ranged.sortWithinPartitions("doc_id")
-    encoded = encode_texts(ranged, path, end_id)
-    tuned(spark, WRITE_BYTES)
-    (encoded.write.option("compression", "lz4").option("orc.stripe.size", STRIPE_BYTES)
+    (encode_texts(ranged, path, end_id).write.option("compression", "lz4").option("orc.stripe.size", STRIPE_BYTES)
      .option("orc.row.index.stride", INDEX_ROWS).option("orc.bloom.filter.columns", "doc_id")
      .option("orc.bloom.filter.fpp", BLOOM_FPP).orc(folder))
 

@@ -7,6 +7,8 @@ from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Name of the default vocabulary file; every operator takes a path instead.
 VOCABULARY = "word_bpe_49k.json"
@@ -133,6 +135,90 @@ class WordEncoder:
         return got
 
 
+def _joined(starts: np.ndarray, sizes: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """The pieces pool[start : start + size] one after the other."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class ColumnEncoder:
+    """Encodes a whole column: words are told apart by Arrow, each distinct run of letters goes to the library once.
+
+    The same cuts as WordEncoder makes, for columns large enough that no memo is needed between them.
+    """
+
+    def __init__(self, path: str | None = None) -> None:
+        self.library, self.letters = tokenizer(path), letters_only(path)
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (one more than texts). Null counts as empty."""
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        lists = pc.split_pattern(pc.replace_substring(texts.fill_null("").cast(pa.large_string()), "\n", " "), " ")
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        coded = lists.flatten().dictionary_encode()
+        at, pool = self._words(coded.dictionary)
+        index = coded.indices.to_numpy()
+        sizes = np.diff(at)[index]
+        return _joined(at[:-1][index], sizes, pool), np.concatenate([[0], np.cumsum(sizes)])[bounds]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words in a row, and where each word's begin."""
+        n = len(words)
+        low = pc.ascii_lower(words)
+        stems = pc.ascii_rtrim(low, characters=MARKS)
+        plain = pc.and_(pc.string_is_ascii(words), pc.ascii_is_alpha(stems)).to_numpy(zero_copy_only=False).copy()
+        cut = pc.binary_length(stems).to_numpy().astype(np.int64)
+        whole = pc.binary_length(low).to_numpy()
+        ended = np.flatnonzero(plain & (cut < whole))
+        tails = [w[c:] for w, c in zip(low.take(pa.array(ended)).to_pylist(), cut[ended].tolist(), strict=True)]
+        other = np.flatnonzero(~plain)
+        good, more, odd, strange = [], [], [], []
+        for i, w in zip(other.tolist(), words.take(pa.array(other)).to_pylist(), strict=True):
+            lower = w.lower()
+            stem = lower.rstrip(MARKS)
+            if stem.isalpha() and max(stem) < LAST_LATIN and is_normalized("NFC", stem):
+                good.append(i)
+                more.append((stem, lower[len(stem) :]))
+            else:
+                odd.append(i)
+                strange.append(w)
+        where = np.concatenate([np.flatnonzero(plain), np.array(good, np.int64)])
+        runs = pa.concat_arrays([stems.filter(pa.array(plain)), pa.array([s for s, _ in more], pa.large_string())]).dictionary_encode()
+        ended = np.concatenate([ended, np.array([i for i, (_, t) in zip(good, more, strict=True) if t], np.int64)])
+        marks = pa.array(tails + [t for _, t in more if t], pa.string()).dictionary_encode()
+        pools, starts = [], []
+        for at, ids in (self._runs(runs.dictionary.to_pylist()), self._plain(marks.dictionary.to_pylist()), self._plain(strange)):
+            starts.append(at + sum(map(len, pools)))
+            pools.append(ids)
+        begin, size = np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64)
+        for rows, part, at, index in ((where, 0, starts[0], runs.indices), (ended, 1, starts[1], marks.indices), (np.array(odd, np.int64), 0, starts[2], pa.array(np.arange(len(odd))))):
+            index = index.to_numpy()
+            begin[rows, part], size[rows, part] = at[:-1][index], np.diff(at)[index]
+        return np.concatenate([[0], np.cumsum(size.sum(1))]), _joined(begin.ravel(), size.ravel(), np.concatenate(pools))
+
+    def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lines = [" ".join(runs[i : i + 200]) for i in range(0, len(runs), 200)]
+        got = [np.asarray(e.ids, np.int32) for e in self.letters.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.int32), *got])
+        at = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        if len(at) != len(runs) + 1:  # each run of letters ends in one token that has the word end
+            raise ValueError("the vocabulary splits runs of letters")
+        return at, ids
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int64), np.array([i for x in got for i in x], np.int32)
+
+
+@lru_cache(maxsize=2)
+def column_encoder(path: str | None = None) -> ColumnEncoder:
+    """The worker's own encoder of columns."""
+    return ColumnEncoder(path)
+
+
 @lru_cache(maxsize=2)
 def word_encoder(path: str | None = None, most: int = MOST_WORDS) -> WordEncoder:
     """The worker's own encoder; it lives as long as the worker."""
