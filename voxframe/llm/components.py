@@ -11,6 +11,12 @@ from voxframe.llm.common import removed, staged
 MOST_ROUNDS = 60
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node points at one other, which points at none."""
+    twice = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return not twice.limit(1).count() and not edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of (a, b): the smallest node reachable.
 
@@ -19,13 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
     back, and the edges of a round are written to the shared folder. Loops and repeated edges do no harm.
     """
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
     for _ in range(MOST_ROUNDS):
-        sums = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if sums == before:
+        if _settled(now):
             stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
             return stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        before = sums
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         up = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

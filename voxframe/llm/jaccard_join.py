@@ -263,8 +263,9 @@ def traverse(left: SignatureTree, right: SignatureTree | None, percent: int, roo
         ok = possible(left.levels[level_a], right.levels[level_b], i, j, percent)
         i, j = i[ok], j[ok]
         if level_a == level_b == 0:
-            tops = np.array([find(x) for x in range(len(root))])
-            apart = tops[i] != tops[j + shift]
+            some, at = np.unique(np.concatenate([i, j + shift]), return_inverse=True)
+            tops = np.array([find(x) for x in some.tolist()], np.int64)[at]
+            apart = tops[: len(i)] != tops[len(i) :]
             for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
                 p, q = find(x), find(y + shift)
                 if p != q and linked(left.sets[x], right.sets[y], percent):
@@ -382,9 +383,8 @@ def join_similar(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, mos
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = 2 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     facts = staged(_counted(docs, parts, size), "facts")
-    same = facts.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    open_ = facts.where(F.col("n") > 0).where(100 * F.col("shared") >= percent * F.col("n"))
-    reps = staged(open_.join(same, ["n", "d1", "d2"]).where("doc_id = rep").select("doc_id").distinct(), "reps")
+    same = staged(facts.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("shared").alias("shared")), "same")
+    reps = same.where(100 * F.col("shared") >= percent * F.col("n")).select(F.col("rep").alias("doc_id"))
     sets = staged(_sets(keep_ids(docs, reps), size), "sets")
     keys = _prefixes(sets, percent)
     lead = keys.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last")
@@ -392,7 +392,7 @@ def join_similar(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, mos
     chained = staged(chained.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
     members = sets.join(F.broadcast(chained) if small_enough(chained) else chained, "doc_id").select("cluster", "doc_id", "n", "tokens")
     whole = components(_links(members, percent, most))
-    named = facts.join(same, ["n", "d1", "d2"], "left").join(whole.withColumnRenamed("node", "rep"), "rep", "left")
+    named = facts.join(same.drop("shared"), ["n", "d1", "d2"], "left").join(whole.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
