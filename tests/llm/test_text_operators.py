@@ -107,6 +107,23 @@ def test_classifier_on_awkward_rows(spark):
     assert kneser_ney.keep_good(df, labels_of(spark).limit(0)).count() == df.count()
 
 
+def test_toxic_documents_are_rejected(spark):
+    """English documents with toxic words among good text, of which every other one was not trained on."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    told = {x["doc_id"]: x["rejected"] for x in kneser_ney.classify(docs, labels.where("toxic = 0 OR doc_id % 2 = 0")).collect()}
+    rows = labels.join(docs.select("doc_id", "lang"), "doc_id").where("quality = 1 AND lang = 'en'").collect()
+    unseen, clean = [told[x["doc_id"]] for x in rows if x["toxic"] == 1 and x["doc_id"] % 2], [told[x["doc_id"]] for x in rows if x["toxic"] == 0]
+    assert len(unseen) > 5 and np.mean(unseen) > 0.9 and np.mean(clean) < 0.08
+
+
+def test_windows_equal_brute_force():
+    r = np.random.default_rng(3)
+    sizes = np.array([1, 3, 4, 5, 40, 2])
+    starts, values = np.cumsum(sizes) - sizes, r.normal(size=sizes.sum())
+    want = [max(v[i : i + 4].sum() for i in range(max(1, len(v) - 3))) for v in np.split(values, starts[1:])]
+    assert kneser_ney.peaks(values, starts, 4) == pytest.approx(want)
+
+
 # --- html -------------------------------------------------------------------------------------------------------
 
 

@@ -1,9 +1,9 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of byte n-grams, trained on trusted text.
+"""Quality classifier: interpolated modified Kneser-Ney models of byte n-grams, trained on trusted and on toxic text.
 
-Counts, continuation counts, discounts and probabilities are DataFrame group-bys and joins. Every order of
-an n-gram that a probability needs shares the last byte of the context, so the model is cut into shards by
-that byte. Documents are reduced to sparse n-gram counts, a packed row for each shard of a slice of
-documents; joined with the shards they give partial log-probabilities, which are summed for each document.
+Counts, continuation counts, discounts and probabilities are DataFrame group-bys and joins. A language's
+models are packed and meet its documents, sent as packed texts, in a join. The trusted model's perplexity
+of a whole document tells broken text. A few toxic words hardly move it, so the log-ratio of the toxic and
+the trusted model is summed over short windows, and the highest window of a document tells toxic text.
 """
 
 from __future__ import annotations
@@ -14,19 +14,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.llm.common import keep_ids, lean, slices, small_enough, staged, tuned, utf8
 
-#: Bytes in an n-gram (at most 7), and shards of the model for each language.
+#: Bytes in an n-gram (at most 7). A language's documents are dealt to one in SHARDS of the shuffle's partitions.
 ORDER, SHARDS = 3, 8
+#: Bytes in a window over which the log-ratio of the toxic and the trusted model is summed.
+TOXIC_WINDOW = 16
 #: Of trusted documents one in HELD_OUT sets thresholds and is not trained on, so thresholds carry no memory of the text.
 HELD_OUT = 5
 #: Log-losses are smoothed as if the document went on for PRIOR bytes at its language's mean: short texts vary most.
 PRIOR = 60
-#: Documents beyond this quantile of held-out trusted documents of their language are rejected.
+#: Documents beyond this quantile of held-out trusted documents of their language are rejected, by perplexity or by their most toxic window.
 QUANTILE = 0.99
 #: Discounts lie between LEAST_DISCOUNT and MOST_DISCOUNT times the count they are for.
 LEAST_DISCOUNT, MOST_DISCOUNT = 0.1, 0.95
@@ -58,6 +61,11 @@ def trusted(labels: DataFrame) -> DataFrame:
     return good.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0)
 
 
+def toxic_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id): documents labelled toxic, whatever their quality."""
+    return labels.where("toxic = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
+
+
 def counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, gram, n): n-gram counts of all texts; a task adds up its own before the shuffle."""
     tuned(texts.sparkSession)
@@ -117,9 +125,10 @@ def train(texts: DataFrame, order: int = ORDER) -> DataFrame:
         t = t.join(ctx, ["lang", "ctx"]).withColumn("low", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1))
         t = t.join(lower, ["lang", "low"]) if lower is not None else t.withColumn("below", F.lit(1.0 / 256))
         t = t.select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("t") + F.col("gamma") * F.col("below")).alias("p"))
-        lower = t.select("lang", F.col("gram").alias("low"), F.col("p").alias("below"))
         rows = t.select("lang", F.lit(k).alias("k"), F.col("gram").alias("key"), "p", F.lit(None).cast("double").alias("gamma"))
         rows = rows.unionByName(ctx.select("lang", F.lit(k).alias("k"), F.col("ctx").alias("key"), F.lit(None).cast("double").alias("p"), "gamma"))
+        rows = staged(rows, "level")  # else the plan of each order holds those of all lower ones several times
+        lower = rows.where("p IS NOT NULL").select("lang", F.col("key").alias("low"), F.col("p").alias("below"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -139,15 +148,9 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def shards(model: DataFrame, order: int = ORDER, n: int = SHARDS, copies: int = 1) -> DataFrame:
-    """(lang, shard, salt, model): the model packed by the last byte of the context; the few unigrams are in each shard.
-
-    Each shard comes in so many copies, told apart by their salt, that a language's documents can be dealt evenly.
-    """
+def packed(model: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, model): each language's model as one blob."""
     tuned(model.sparkSession)
-    last = F.when(F.col("p").isNull(), F.col("key").bitwiseAND(255)).otherwise(F.shiftright("key", 8).bitwiseAND(255))
-    every = F.sequence(F.lit(0), F.lit(n - 1))
-    rows = model.withColumn("shard", F.explode(F.when(F.col("k") == 1, every).otherwise(F.array((last % n).cast("int")))))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         arrays = []
@@ -156,14 +159,13 @@ def shards(model: DataFrame, order: int = ORDER, n: int = SHARDS, copies: int =
             for value in ("p", "gamma"):
                 some = own[own[value].notna()].sort_values("key")
                 arrays += [some["key"].to_numpy("<i8"), np.log(some[value].to_numpy("<f8"))]
-        return pd.DataFrame({"lang": group.lang.iloc[:1], "shard": group.shard.iloc[:1], "model": [_pack(*arrays)]})
+        return pd.DataFrame({"lang": group.lang.iloc[:1], "model": [_pack(*arrays)]})
 
-    packed = rows.groupBy("lang", "shard").applyInPandas(pack, "lang string, shard int, model binary")
-    return packed.select("lang", "shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("salt"), "model")
+    return model.groupBy("lang").applyInPandas(pack, "lang string, model binary")
 
 
 def log_p(model: list[np.ndarray], grams_: np.ndarray, order: int) -> np.ndarray:
-    """Log-probabilities of n-grams under a shard that holds their contexts."""
+    """Log-probabilities of n-grams under a packed model."""
     out = np.full(len(grams_), -math.log(256))
     for k in range(1, order + 1):
         keys, p, contexts, gamma = model[4 * (k - 1) : 4 * k]
@@ -176,79 +178,97 @@ def log_p(model: list[np.ndarray], grams_: np.ndarray, order: int) -> np.ndarray
     return out
 
 
-def _documents(docs: DataFrame, order: int, n: int, copies: int) -> DataFrame:
-    """(lang, shard, salt, docs): sparse n-gram counts of a slice of documents, those of one shard."""
+def peaks(ratio: np.ndarray, starts: np.ndarray, window: int = TOXIC_WINDOW) -> np.ndarray:
+    """The highest sum over a window of each document's values; documents start at `starts`, shorter ones are one window."""
+    total = np.concatenate([[0.0], np.cumsum(ratio)])
+    ends = np.append(starts[1:], len(ratio))
+    at = np.arange(len(ratio))
+    to = np.minimum(at + window, np.repeat(ends, ends - starts))
+    sums = np.where(to - at == window, total[to] - total[at], -np.inf)
+    sums[starts] = total[to[starts]] - total[starts]
+    return np.maximum.reduceat(sums, starts)
+
+
+def _documents(docs: DataFrame, copies: int) -> DataFrame:
+    """(lang, salt, docs): the packed texts of one language in a batch of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, offsets = utf8(b.column(2))
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            langs = np.array(b.column(1).to_pylist(), object)
             out: list[tuple] = []
-            for lo, hi in slices(offsets):
-                row, g = grams(raw, offsets[lo : hi + 1], order)
-                both, times = np.unique((row << 8 * order) | g, return_counts=True)
-                row, g = both >> 8 * order, both & ((1 << 8 * order) - 1)
-                code, salt = (g >> 8 & 255) % n, int(ids[lo]) % copies
-                for lang in set(langs[lo:hi]):
-                    of = (langs[lo:hi] == lang)[row]
-                    for s in range(n):
-                        own = of & (code == s)
-                        r, gram, t = row[own], g[own], times[own]
-                        if len(r):
-                            words, at = np.unique(gram, return_inverse=True)
-                            there, each = np.unique(r, return_counts=True)
-                            step = np.diff(at, prepend=0).astype("<i4")
-                            out.append((lang, s, salt, _pack(ids[lo:hi][there].astype("<i8"), each.astype("<i8"), words.astype("<i8"), step, t.astype("<i4"))))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.binary())], ["lang", "shard", "salt", "docs"])
+            for lang in b.column(1).unique().to_pylist():
+                own = b.filter(pc.equal(b.column(1), lang))
+                raw, offsets = utf8(own.column(2))
+                ids = own.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+                out.append((lang, int(ids[0]) % copies, _pack(ids, np.diff(offsets).astype("<i8"), raw)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["lang", "salt", "docs"])
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string"))
-    return rows.mapInArrow(lean(run), "lang string, shard int, salt int, docs binary")
+    return rows.mapInArrow(lean(run), "lang string, salt int, docs binary")
 
 
-def losses(docs: DataFrame, model: DataFrame, order: int = ORDER, n: int = SHARDS) -> DataFrame:
-    """(doc_id, lang, n_grams, loss): the sum of -log p over all n-grams of each document, by a join with the shards."""
+def losses(docs: DataFrame, model: DataFrame, order: int = ORDER, n: int = SHARDS, toxic: DataFrame | None = None) -> DataFrame:
+    """(doc_id, lang, n_grams, loss, peak): the sum of -log p over all n-grams of each document, and its most toxic window.
+
+    peak is the highest sum, over a window, of the log-ratio of the toxic model and the model; null without
+    a toxic model of the language. Models come in copies, told apart by their salt, so that a language's
+    documents can be dealt evenly.
+    """
     tuned(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, parsed = None, None
+        last, parsed = (None, None), [None, None]
         for b in batches:
-            for lang, blob, packed in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                if (packed := packed.as_py()) != last:
-                    last, parsed = packed, _unpack(packed, "<i8", "<f8")
-                ids, each, words, step, times = _unpack(blob.as_py(), "<i8", "<i8", "<i8", "<i4", "<i4")
-                p = log_p(parsed, words, order)
-                starts = np.cumsum(each) - each
-                loss = -np.add.reduceat(p[np.cumsum(step)] * times, starts)
-                total = np.add.reduceat(times.astype(np.int64), starts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([lang] * len(ids), pa.string()), pa.array(total), pa.array(loss)], ["doc_id", "lang", "n", "loss"])
+            for lang, blob, *both in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
+                if (both := tuple(m.as_py() for m in both)) != last:
+                    last, parsed = both, [None if m is None else _unpack(m, "<i8", "<f8") for m in both]
+                ids, sizes, raw = _unpack(blob.as_py(), "<i8", "<i8", "u1")
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                for lo, hi in slices(offsets):
+                    _, g = grams(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], order)
+                    at, words = pd.factorize(g)
+                    each = sizes[lo:hi] + 1
+                    starts = np.cumsum(each) - each
+                    p, q = (None if m is None else log_p(m, words, order) for m in parsed)
+                    loss = pa.array(-np.add.reduceat(p[at], starts))
+                    peak = pa.nulls(len(each), pa.float64()) if q is None else pa.array(peaks((q - p)[at], starts))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array([lang] * len(each), pa.string()), pa.array(each), loss, peak], ["doc_id", "lang", "n", "loss", "peak"])
 
     copies = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n)
-    joined = _documents(docs, order, n, copies).join(shards(model, order, n, copies), ["lang", "shard", "salt"]).select("lang", "docs", "model")
-    parts = joined.mapInArrow(lean(run), "doc_id long, lang string, n long, loss double")
-    return parts.groupBy("doc_id", "lang").agg(F.sum("n").alias("n_grams"), F.sum("loss").alias("loss"))
+    models = packed(model, order)
+    models = models.withColumn("toxic", F.lit(None).cast("binary")) if toxic is None else models.join(packed(toxic, order).withColumnRenamed("model", "toxic"), "lang", "left")
+    models = models.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    joined = _documents(docs, copies).join(models, ["lang", "salt"]).select("lang", "docs", "model", "toxic")
+    parts = joined.mapInArrow(lean(run), "doc_id long, lang string, n long, loss double, peak double")
+    return parts.groupBy("doc_id", "lang").agg(F.sum("n").alias("n_grams"), F.sum("loss").alias("loss"), F.max("peak").alias("peak"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, n: int = SHARDS, quantile: float = QUANTILE, prior: int = PRIOR) -> DataFrame:
-    """doc_id, lang, n_grams, perplexity, threshold, rejected for each document that has a doc_id.
+    """doc_id, lang, n_grams, perplexity, threshold, toxicity, toxic_threshold, rejected for each document that has a doc_id.
 
-    Trained on all documents labelled good and not toxic, but the held-out fifth; thresholds are a
+    One model is trained on all documents labelled good and not toxic, but the held-out fifth, another on
+    those labelled toxic; thresholds of perplexity and of toxicity (the most toxic window) are a
     quantile of the held-out ones, for each language. A document of a language without trusted text has
-    no threshold and is kept (no row if its language was never trained). Null and empty texts are one
-    n-gram of padding. Rows that share a doc_id and a language count as one document. Null languages are
-    one language, "". Documents without a label are scored like all others; other columns are not read.
+    no threshold and is kept (no row if its language was never trained); one of a language without toxic
+    text has no toxicity. Null and empty texts are one n-gram of padding. Rows that share a doc_id and a
+    language count as one document. Documents without a label are scored like all others; null languages
+    are one language, ""; other columns are not read.
     """
     tuned(docs.sparkSession)
     docs = docs.select("doc_id", "lang", "text")
     good = trusted(labels)
-    scored = staged(losses(docs, train(keep_ids(docs, good.where("NOT held").select("doc_id")), order), order, n), "losses")
+    taught = [keep_ids(docs, ids).withColumn("lang", F.concat(F.lit(mark), F.coalesce(F.col("lang").cast("string"), F.lit("")))) for mark, ids in (("+", good.where("NOT held").select("doc_id")), ("-", toxic_ids(labels)))]
+    model = train(taught[0].unionByName(taught[1]), order)
+    clean, toxic = (model.where(F.col("lang").startswith(mark)).withColumn("lang", F.expr("substring(lang, 2)")) for mark in "+-")
+    scored = staged(losses(docs, clean, order, n, toxic), "losses")
     tagged = scored.join(good, "doc_id", "left")
     means = tagged.where("NOT held").groupBy("lang").agg((F.sum("loss") / F.sum("n_grams")).alias("mean"))
     tagged = tagged.join(means.hint("broadcast") if small_enough(means, 10_000) else means, "lang", "left")
     tagged = tagged.withColumn("smooth", (F.col("loss") + prior * F.col("mean")) / (F.col("n_grams") + prior))
-    limits = tagged.where("held").groupBy("lang").agg(F.percentile_approx("smooth", quantile, 10_000).alias("limit"))
+    limits = tagged.where("held").groupBy("lang").agg(*[F.percentile_approx(v, quantile, 10_000).alias(limit) for v, limit in (("smooth", "limit"), ("peak", "most"))])
     tagged = tagged.join(limits.hint("broadcast") if small_enough(limits, 10_000) else limits, "lang", "left")
-    return tagged.select("doc_id", "lang", "n_grams", F.round(F.exp("smooth"), 9).alias("perplexity"), F.round(F.exp("limit"), 9).alias("threshold"), F.coalesce(F.round(F.exp("smooth"), 9) > F.round(F.exp("limit"), 9), F.lit(False)).alias("rejected"))
+    out = tagged.select("doc_id", "lang", "n_grams", *[F.round(v, digits).alias(name) for v, digits, name in ((F.exp("smooth"), 9, "perplexity"), (F.exp("limit"), 9, "threshold"), (F.col("peak"), 6, "toxicity"), (F.col("most"), 6, "toxic_threshold"))])
+    beyond = [F.coalesce(F.col(v) > F.col(limit), F.lit(False)) for v, limit in (("perplexity", "threshold"), ("toxicity", "toxic_threshold"))]
+    return out.withColumn("rejected", beyond[0] | beyond[1])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
