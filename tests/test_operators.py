@@ -129,3 +129,11 @@ def test_grids():
 def test_resample_to_itself(spark, image):
     g = Grid(SHAPE, 0.05, (1.0, 2.0, 3.0))
     assert np.allclose(dense(gather.resample(rows(spark, v=image), g, g), SHAPE, "v")[0], image)
+
+
+def test_chunks_of_the_whole_volume_are_registered(spark):
+    """30 planes, so two layers of chunks of 16."""
+    from voxframe.plans.queries import QUERIES
+
+    got = QUERIES["register_chunks"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r["chunk_id"] for r in got) == list(range(8))

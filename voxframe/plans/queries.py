@@ -665,8 +665,8 @@ def register_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """One pass of the chunk solver on the volume and a copy moved by a voxel: a record for each chunk."""
     from voxframe.plans import config, groupwise
 
-    shape = (min(16, T.shape(spark, sf)[0]), *T.shape(spark, sf)[1:])
-    fixed = T.volume(spark, sf).where(F.col("z") < shape[0]).withColumn("v", F.col("v") / 300000)
+    shape = T.shape(spark, sf)
+    fixed = T.volume(spark, sf).withColumn("v", F.col("v") / 300000)
     moving = stencil.shift(fixed, (0, 1, 0), shape).select(F.lit(1).alias("subject"), *AXES, "v")
     still = moving.select("subject", *AXES, *[F.lit(0.0).alias(u) for u in VECTOR])
     run = config.load({"tiling": {"core": 16, "halo": 8}, "solver": {"stages": [{"scales": [1], "iterations": [4]}]}})
