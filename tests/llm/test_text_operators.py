@@ -408,6 +408,13 @@ def test_personal_columns(spark):
     assert pii.find_personal(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("before", [0, 1000, 1031])
+def test_address_without_digits_or_at_sign(before):
+    text = ("and so on " * 110)[:before] + " jane.doe (at) example dot com " + "and so on " * 100
+    (own, spans), = pii.all_spans([text], pii.trained())
+    assert own == [] and [(k, text[s:e]) for s, k, e in spans] == [(0, "jane.doe (at) example dot com")]
+
+
 # --- tokens -----------------------------------------------------------------------------------------------------
 
 ODD = ["", "  ", "á\n ̈b", "ΑΣ Σ ΑΣ. Σ", "<|endoftext|>x <|start oftext|> <|endoftext|>", "it's we're'll 'd", "\t\x0b日本語 🎉👩‍👩‍👧 12 34", "x" * 5000, "İstanbul ǅ", "a b　c ͅ Å", "'", " s", "Ünïcode, Straße!! (ok)... --- a_b 3.14", "İ ß ﬁ ẞ"]

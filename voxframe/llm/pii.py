@@ -3,8 +3,8 @@
 The model is trained in numpy from labelled spans, which a generator writes: the base kinds as they usually look
 and as people write them to escape patterns. It reads overlapping windows of fixed size. Their scores for each
 character are averaged where windows overlap, the middle of a window weighing most, and the best tags are decoded
-once over all that hangs together, so that windows cannot disagree. Every tag needs a digit or an @ within its
-span, and no window without one is read. What the model finds is kept if it holds what its kind must hold.
+once over all that hangs together, so that windows cannot disagree. Every kind needs a digit, an @ or a bracketed
+"at" within its span, and no window without one is read. What the model finds is kept if it holds what its kind must hold.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
+_AT = re.compile(r"@|[\[(]\s*at\s*[\])]", re.I)
+_OPENS = re.compile(rf"[0-9]|{_AT.pattern}", re.I)
 _DIGITS = re.compile(r"[^0-9]")
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -330,7 +332,7 @@ def model_spans(texts: list[str], p: dict[str, np.ndarray]) -> list[list[Span]]:
     """What the model tags in each text, over windows that overlap by half."""
     symbols, places = [codes(t) for t in texts], []
     for i, t in enumerate(texts):
-        at = np.array([m.start() for m in _SIGN.finditer(t)], np.int64)
+        at = np.array([x for m in _OPENS.finditer(t) for x in (m.start(), m.end() - 1)], np.int64)
         if len(at):
             k = np.unique(np.concatenate([at // STEP, at // STEP - 1]))
             places += [(i, int(j)) for j in k]
@@ -371,7 +373,6 @@ def model_spans(texts: list[str], p: dict[str, np.ndarray]) -> list[list[Span]]:
     return found
 
 
-_AT = re.compile(r"@|[\[(]\s*at\s*[\])]", re.I)
 _DOT = re.compile(r"\.|[\[(]\s*dot\s*[\])]|\sdot\s", re.I)
 
 
