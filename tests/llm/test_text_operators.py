@@ -162,6 +162,24 @@ def test_html_odd_pages(spark):
     assert html_text.main_text(empty).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<html><head><title>t</title><script>var x;</script><body><article>{}</article>",
+    "<html><head><meta charset=utf-8><noscript><img src=x></noscript><title>t</title><article>{}</article>",
+    "<head><title>t</title></head><body><article>{}</article>",
+])
+def test_html_head_without_end(page):
+    assert html_text.extract(page.format(BODY)) == "\n".join(re.findall("<p>(.*?)</p>", BODY))
+
+
+@pytest.mark.parametrize("wrapper", ["layout has-sidebar", "content-area no-sidebar", "single comments-open"])
+def test_html_layout_wrappers(wrapper):
+    want = "\n".join(re.findall("<p>(.*?)</p>", BODY))
+    for tag in ("article", "main"):
+        assert html_text.extract(f'<body><div class="{wrapper}"><{tag}>{BODY}<div class="share">Share it</div></{tag}><div class="sidebar">Other things</div><article class="comment">Nice</article></div>') == want
+    assert html_text.extract(f'<body><div class="{wrapper}" hidden><article>{BODY}</article></div>') == ""
+    assert html_text.extract(f'<body><article>{BODY}</article><div class="related"><article><p>{"Another one. " * 90}</p></article></div>') == want
+
+
 # --- chats ------------------------------------------------------------------------------------------------------
 
 CHAT = [

@@ -30,6 +30,8 @@ GAP = 3
 
 # Elements by role, and words in class, id or role that mark what is no content.
 RAW = frozenset("script style noscript template iframe svg object select option textarea button canvas audio video math head title datalist".split())
+#: What may stand in a head: anything else ends it, as its end tag is optional.
+METADATA = frozenset("base basefont bgsound link meta title script style noscript template head html".split())
 NOISE = frozenset("nav aside footer form dialog menu".split())
 MARKED = frozenset("article main".split())
 CONTAINERS = frozenset("html body div section article main header nav aside footer form dialog menu ul ol dl table tbody thead tr td th blockquote figure details fieldset".split())
@@ -46,17 +48,19 @@ COMMENT = re.compile(r"(?:^|[\s_-])comments?(?=$|[\s_-])", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
+#: An article below a container whose hint may only name the layout ("has-sidebar"), noise by a hint, noise for certain.
+DOUBT, HINTED, CERTAIN = 1, 2, 3
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, linked characters, container, noise) of each line of a page."""
+    """Collects (text, tags, linked characters, container, noise) of each line of a page; noise is 0 or one of the levels."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.parents, self.names = [-1], ["root"]
         self.named = [False]  # whether a container's class or id says that it holds the content
-        self.stack = [(0, "root", False)]  # container, element, noise
+        self.stack = [(0, "root", 0)]  # container, element, noise
         self.raw: list[str] = []
         self.text: list[str] = []
         self.tags = self.links = self.linked = 0
@@ -72,16 +76,15 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
+        if self.raw and self.raw[0] == "head" and (tag == "body" or self.raw == ["head"] and tag not in METADATA):
+            self.raw.clear()
         if self.raw:
-            if tag == self.raw[-1]:
+            if tag == self.raw[-1] or self.raw == ["head"] and tag in RAW:
                 self.raw.append(tag)
             return
         if tag in RAW:
-            if tag == "head" or tag not in VOID:
-                self.raw.append(tag)
+            self.raw.append(tag)
             return
-        if tag == "body":
-            self.raw.clear()
         if tag == "a":
             self.links += 1
         elif tag == "br":
@@ -95,8 +98,8 @@ class Lines(HTMLParser):
         if tag in ("td", "th", "tbody", "thead", "html"):
             return
         if tag not in CONTAINERS:
-            if attrs and self.hinted(tag, attrs):
-                self.push(tag, True, attrs)
+            if attrs and (noise := self.hinted(tag, attrs)):
+                self.push(tag, max(noise, self.stack[-1][2]), attrs)
             return
         self.links = 0
         if tag in MARKED:  # an article inside a menu means that the menu was not closed
@@ -104,25 +107,32 @@ class Lines(HTMLParser):
                 if element in NOISE:
                     del self.stack[i:]
                     break
-        self.push(tag, self.stack[-1][2] or tag in NOISE or bool(attrs) and self.hinted(tag, attrs) or tag == "header" and not self.marked(), attrs)
+        above, own = self.stack[-1][2], self.hinted(tag, attrs) if attrs else 0
+        if tag in NOISE:
+            own = CERTAIN
+        elif tag == "header" and not self.marked():
+            own = max(own, HINTED)
+        if tag in MARKED and above == HINTED:
+            above = DOUBT
+        self.push(tag, max(above, own), attrs)
 
     def marked(self) -> bool:
         """Whether an article is open."""
         return any(e in MARKED for _, e, _ in self.stack)
 
-    def hinted(self, tag: str, attrs: list) -> bool:
-        """Whether attributes say that an element is no content."""
+    def hinted(self, tag: str, attrs: list) -> int:
+        """How far attributes say that an element is no content."""
         said = dict(attrs)
         if "hidden" in said or said.get("aria-hidden") == "true" or HIDDEN.search(said.get("style") or ""):
-            return True
+            return CERTAIN
         hint = " ".join(said.get(k) or "" for k in ("class", "id", "role"))
         if tag in ("body", "main"):
-            return False
+            return 0
         if tag == "article":
-            return COMMENT.search(hint) is not None
-        return HINTS.search(hint) is not None or HEADER.search(hint) is not None and not self.marked()
+            return HINTED * (COMMENT.search(hint) is not None)
+        return HINTED * (HINTS.search(hint) is not None or HEADER.search(hint) is not None and not self.marked())
 
-    def push(self, tag: str, noise: bool, attrs: list) -> None:
+    def push(self, tag: str, noise: int, attrs: list) -> None:
         self.parents.append(self.stack[-1][0])
         self.names.append(tag)
         self.named.append(tag in ("div", "section") and any(CONTENT.search(v or "") for k, v in attrs if k in ("class", "id", "itemprop")))
@@ -155,6 +165,8 @@ class Lines(HTMLParser):
                 self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.raw == ["head"] and data.strip():
+            self.raw.clear()
         if not self.raw:
             self.text.append(data)
             if self.links:
@@ -199,12 +211,16 @@ def extract(html: str | None) -> str:
     parser.close()
     parser.raw.clear()
     parser.flush()
-    lines = [x for x in parser.lines if not x[4]]
+    parents, names = parser.parents, parser.names
+    said = [False]  # whether a container or one around it says that it holds the content
+    for node in range(1, len(parents)):
+        said.append(said[parents[node]] or names[node] in MARKED or parser.named[node])
+    most = 0 if any(said[node] for _, _, _, node, noise in parser.lines if not noise) else DOUBT
+    lines = [x for x in parser.lines if x[4] <= most]
     if not lines:
         return ""
     ratio = smoothed(np.array([len(text) * (1 - linked / max(1, len(text))) / tags for text, tags, linked, _, _ in lines]))
     dense = dense_lines(ratio)
-    parents, names = parser.parents, parser.names
     weight = np.zeros(len(parents))
     for (text, _, _, node, _), d in zip(lines, dense, strict=True):
         while d and node >= 0:
