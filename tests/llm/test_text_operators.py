@@ -124,6 +124,13 @@ def test_windows_equal_brute_force():
     assert kneser_ney.peaks(values, starts, 4) == pytest.approx(want)
 
 
+def test_model_sees_more_than_trigrams(spark):
+    """The second text has the trigrams of the first, in other words."""
+    docs = docs_of(spark, ["pxyzq   rxyzs   " * 30, "pxyzs   rxyzq   " * 30])
+    loss = {x["doc_id"]: x["loss"] for x in kneser_ney.losses(docs, kneser_ney.train(docs.where("doc_id = 0"))).collect()}
+    assert loss[1] > 1.5 * loss[0]
+
+
 # --- html -------------------------------------------------------------------------------------------------------
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from voxframe.llm.common import keep_ids, lean, slices, small_enough, staged, tuned, utf8
 
 #: Bytes in an n-gram (at most 7). A language's documents are dealt to one in SHARDS of the shuffle's partitions.
-ORDER, SHARDS = 3, 8
+ORDER, SHARDS = 5, 8
 #: Bytes in a window over which the log-ratio of the toxic and the trusted model is summed.
 TOXIC_WINDOW = 16
 #: Of trusted documents one in HELD_OUT sets thresholds and is not trained on, so thresholds carry no memory of the text.
