@@ -131,6 +131,14 @@ def test_model_sees_more_than_trigrams(spark):
     assert loss[1] > 1.5 * loss[0]
 
 
+def test_untrained_languages_have_rows(spark):
+    docs = docs_of(spark, ["good text of one language " * 3] * 12 + ["keiner kennt diese Sprache", None, ""], {12: "xx", 13: "yy", 14: None})
+    got = {x["doc_id"]: x for x in kneser_ney.classify(docs, labels_of(spark, 12)).collect()}
+    assert sorted(got) == list(range(15))
+    for i in (12, 13, 14):
+        assert got[i]["perplexity"] is None and got[i]["threshold"] is None and got[i]["rejected"] is False and got[i]["n_grams"] >= 1
+
+
 # --- html -------------------------------------------------------------------------------------------------------
 
 

@@ -229,15 +229,15 @@ def losses(docs: DataFrame, model: DataFrame, order: int = ORDER, n: int = SHARD
                     each = sizes[lo:hi] + 1
                     starts = np.cumsum(each) - each
                     p, q = (None if m is None else log_p(m, words, order) for m in parsed)
-                    loss = pa.array(-np.add.reduceat(p[at], starts))
-                    peak = pa.nulls(len(each), pa.float64()) if q is None else pa.array(peaks((q - p)[at], starts))
+                    loss = pa.nulls(len(each), pa.float64()) if p is None else pa.array(-np.add.reduceat(p[at], starts))
+                    peak = pa.nulls(len(each), pa.float64()) if p is None or q is None else pa.array(peaks((q - p)[at], starts))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array([lang] * len(each), pa.string()), pa.array(each), loss, peak], ["doc_id", "lang", "n", "loss", "peak"])
 
     copies = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n)
     models = packed(model, order)
     models = models.withColumn("toxic", F.lit(None).cast("binary")) if toxic is None else models.join(packed(toxic, order).withColumnRenamed("model", "toxic"), "lang", "left")
     models = models.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    joined = _documents(docs, copies).join(models, ["lang", "salt"]).select("lang", "docs", "model", "toxic")
+    joined = _documents(docs, copies).join(models, ["lang", "salt"], "left").select("lang", "docs", "model", "toxic")
     parts = joined.mapInArrow(lean(run), "doc_id long, lang string, n long, loss double, peak double")
     return parts.groupBy("doc_id", "lang").agg(F.sum("n").alias("n_grams"), F.sum("loss").alias("loss"), F.max("peak").alias("peak"))
 
@@ -248,7 +248,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, n: int = SH
     One model is trained on all documents labelled good and not toxic, but the held-out fifth, another on
     those labelled toxic; thresholds of perplexity and of toxicity (the most toxic window) are a
     quantile of the held-out ones, for each language. A document of a language without trusted text has
-    no threshold and is kept (no row if its language was never trained); one of a language without toxic
+    no threshold and is kept (its perplexity is null if its language was never trained); one of a language without toxic
     text has no toxicity. Null and empty texts are one n-gram of padding. Rows that share a doc_id and a
     language count as one document. Documents without a label are scored like all others; null languages
     are one language, ""; other columns are not read.
