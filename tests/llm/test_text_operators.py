@@ -367,6 +367,17 @@ def test_audio_columns(spark):
     assert mpeg_audio.described(mpeg_audio.to_audio(df.limit(0))).count() == 0
 
 
+def test_audio_with_tag_letters_in_the_text():
+    for n, at in ((n, at) for n in (192, 384, 576, 768, 960) for at in range(n - 2)):
+        payload = (b"x" * at + b"TAG").ljust(n, b"y")
+        data = mpeg_audio.write_audio(payload)
+        assert mpeg_audio.payload_of(data, mpeg_audio.read_audio(data)) == payload
+    payload = b"MONTAG" * 3000
+    data = mpeg_audio.write_audio(payload)
+    tagged = mpeg_audio.read_audio(data + b"TAG".ljust(128, b"\xff"))
+    assert tagged.offsets == mpeg_audio.read_audio(data).offsets and tagged.skipped == 0 and mpeg_audio.payload_of(data, tagged) == payload
+
+
 # --- personal data ----------------------------------------------------------------------------------------------
 
 

@@ -164,12 +164,16 @@ def _vbr_table(data: bytes, at: int, h: Header) -> dict[str, object]:
 
 
 def read_audio(data: bytes) -> Audio:
-    """Walks through the frames. After bytes that are no frame it goes on where two headers in a row agree."""
+    """Walks through the frames. After bytes that are no frame it goes on where two headers in a row agree.
+
+    An ID3v1 tag is one only where the frames end: the same letters inside a frame are its bytes.
+    """
     out = Audio()
     at = id3_end(data, out.tags)
-    end = len(data) - 128 if data[-128:-125] == b"TAG" and len(data) >= 128 else len(data)
+    end = len(data)
+    tag = end - 128 if data[-128:-125] == b"TAG" and end >= 128 else -1
     synced, first = True, True
-    while at + 4 <= end:
+    while at + 4 <= end and not (synced and at == tag):
         h = header(data[at : at + 4])
         after = at + h.size if h else 0
         ok = h is not None and h.size > 4 and after <= end
