@@ -470,22 +470,62 @@ def fuzzed(n=300):
     return ["".join(r.choice(some) for _ in range(r.randint(0, 120))) for _ in range(n)]
 
 
-def test_words_and_chunks_equal_the_library():
+def rows_of(ids, at):
+    return [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+@pytest.mark.parametrize("bits", [2, 5, 8])
+def test_words_and_chunks_equal_the_library(monkeypatch, bits):
+    monkeypatch.setattr(bpe_chunks, "CUT_BITS", bits)
     library = words.tokenizer()
     texts = ODD + [t * 40 for t in ODD] + fuzzed()
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-    flat = lambda rows: [np.frombuffer(x, "<u4").tolist() for x in rows]
-    assert flat(words.WordEncoder().texts(texts)) == want
-    ids, at = words.ColumnEncoder().column(pa.array([*texts, None]))
-    assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == [*want, []]
+    assert rows_of(*words.ColumnEncoder().column(pa.array([*texts, None]))) == [*want, []]
     encoder = bpe_chunks.ChunkEncoder()
-    assert flat(encoder.batch(pa.array(texts))) == want
-    assert flat(encoder.batch(pa.array(texts))) == want and encoder.reused > encoder.met // 3
-    small = words.WordEncoder(most=50)
-    assert flat(small.texts(texts)) == want and flat(small.texts(texts[::-1])) == want[::-1]
+    assert rows_of(*encoder.column(pa.array([*texts, None]))) == [*want, []]
+    made = encoder.chunks.made
+    assert rows_of(*encoder.column(pa.array(texts))) == want and encoder.chunks.made == made and encoder.whole == 0
+    small = bpe_chunks.ChunkEncoder(most=500)
+    assert rows_of(*small.column(pa.array(texts))) == want and rows_of(*small.column(pa.array(texts[::-1]))) == want[::-1]
+
+
+def test_chunks_are_encoded_once():
+    """The encoder is given each distinct chunk once; of a second text with the same passage, only what is new and the joins."""
+    given, one = [], words.ColumnEncoder()
+
+    def counted(texts):
+        given.append(sum(len(t.encode()) for t in texts.to_pylist()))
+        return one.column(texts)
+
+    r = random.Random(4)
+    passage = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(4000))
+    encoder = bpe_chunks.ChunkEncoder(encode=counted)
+    encoder.column(pa.array([passage]))
+    first, given[:] = sum(given), []
+    text = "Something else before it, " + passage + " and after it."
+    assert rows_of(*encoder.column(pa.array([text]))) == [words.tokenizer().encode(text, add_special_tokens=False).ids]
+    assert given[0] < 0.1 * len(passage) and sum(given) < 0.6 * first
+
 
+def test_joins_grow_until_they_agree():
+    """With a vocabulary whose tokens hold blanks, and an encoder that joins some neighbouring words, a window must grow."""
+    import public_tokenizers
 
-def test_cuts_follow_content():
+    library = words.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def plain(texts):
+        got = [e.ids for e in library.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.array([i for x in got for i in x], np.int32), np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int64)
+
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["the", "a", "of", "it's", "x1", "(so)", "é", "\n", "\n\nno"]) for _ in range(r.randint(0, 600))) for _ in range(60)]
+    encoder = bpe_chunks.ChunkEncoder(encode=plain)
+    assert rows_of(*encoder.column(pa.array(texts))) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.grown > 0
+
+
+def test_cuts_follow_content(monkeypatch):
+    monkeypatch.setattr(bpe_chunks, "CUT_BITS", 6)
     a, b = random.Random(1).randbytes(4000), random.Random(2).randbytes(531)
     letters = lambda raw: np.frombuffer(bytes(97 + c % 26 for c in raw), np.uint8)
     one, two = bpe_chunks.cuts(letters(a)), bpe_chunks.cuts(letters(b + a))
@@ -512,7 +552,7 @@ def test_token_files(spark, tmp_path):
     folder = f"file://{tmp_path}/ids"
     token_files.write(df, folder)
     got = sorted((tuple(r) for r in token_files.offsets(token_files.read(spark, folder)).collect()), key=lambda r: r[1])
-    rows = sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    rows = sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0))  # rows 5 are equal
     start = 0
     for (doc, text), g in zip(rows, got, strict=True):
         ids = library.encode(text or "", add_special_tokens=False).ids + [2]
@@ -524,6 +564,27 @@ def test_token_files(spark, tmp_path):
     assert token_files.written_and_read(df.limit(0)).count() == 0
 
 
+def test_token_files_with_repeated_ids(spark, tmp_path):
+    """Equal ids start where they lie: no two rows overlap, and the files hold at each start what the row says."""
+    rows = [(i // 5, f"word{i} " * (i % 11), "en", "s", 0) for i in range(300)]
+    folder = f"file://{tmp_path}/ids"
+    token_files.write(spark.createDataFrame(rows, SCHEMA).repartition(3), folder)
+    flat = [i for p in sorted((r for r in token_files.read(spark, folder).selectExpr("*", "_metadata.file_name AS f", "monotonically_increasing_id() AS m").collect()), key=lambda r: (r["doc_id"] // 1, r["f"], r["m"])) for i in p["ids"]]
+    got = sorted(tuple(r) for r in token_files.offsets(token_files.read(spark, folder)).select("start", "n_tokens", "ids_crc32").collect())
+    at = 0
+    for start, n, crc in got:
+        assert start == at and crc == zlib.crc32(np.array(flat[start : start + n], "<u4").tobytes())
+        at += n
+    assert at == len(flat)
+
+
+def test_runs_of_letters_that_the_vocabulary_splits(monkeypatch):
+    encoder = words.ColumnEncoder()
+    monkeypatch.setattr(encoder, "ends", np.zeros_like(encoder.ends))
+    texts = ["some words and others", "words again"]
+    assert rows_of(*encoder.column(pa.array(texts))) == [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_files_with_and_without_a_shuffle(spark, tmp_path):
     texts = [f"text number {i} " * (i % 7) for i in range(200)]
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]

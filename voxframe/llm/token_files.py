@@ -20,10 +20,10 @@ from voxframe.llm.words import column_encoder
 
 #: Id after the last token of each document.
 END_ID = 2
-#: Bytes of text that are encoded at once: the more, the fewer words are looked up twice.
-WRITE_BYTES = 16_000_000
+#: Bytes of text that are encoded at once: they bound a worker's memory, the words between them are remembered.
+WRITE_BYTES = 2_000_000
 #: Writer settings: stripe size, rows between two entries of the row index, false positives of the Bloom filters.
-STRIPE_BYTES, INDEX_ROWS, BLOOM_FPP = 16 << 20, 1000, 0.01
+STRIPE_BYTES, INDEX_ROWS, BLOOM_FPP = 8 << 20, 1000, 0.01
 
 
 def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -40,16 +40,18 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
 
 def encode_texts(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """doc_id, ids (array of int): the whole text's ids, then the end id. Null text counts as empty."""
-    tuned(docs.sparkSession)
+    tuned(docs.sparkSession, WRITE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = column_encoder(path)
         for b in gathered(batches, WRITE_BYTES):
             ids, at = encoder.column(b.column(1))
-            n = len(at) - 1
             flat = np.insert(ids, at[1:], end_id)
-            lists = pa.ListArray.from_arrays(pa.array((at + np.arange(n + 1)).astype(np.int32)), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "ids"])
+            ends = pa.array((at + np.arange(len(at))).astype(np.int32))
+            del ids, at
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))], ["doc_id", "ids"])
+            del b, flat, ends
+            yield out
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, False), "doc_id long, ids array<int>")
 
@@ -71,7 +73,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
 
     Documents whose partitions are in order already, as those of a sorted table are, stay where they lie;
     others are shuffled once, by ranges of doc_id (evenly sized whatever the ids). The ids are made after
-    that and go straight to the writer. Null texts hold the end id alone; repeated doc_ids stand side by side.
+    that and go straight to the writer. Null texts hold the end id alone; repeated doc_ids stand side by side,
+    in any order among themselves.
     """
     spark = docs.sparkSession
     ranged = docs.select("doc_id", "text")
@@ -93,7 +96,8 @@ def offsets(rows: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the files.
 
     A task sums each file's part that it reads; `start` is the count of the files before (a row a file),
-    then a running sum inside the file. Null doc_ids come first, as they do in the files.
+    then a running sum inside the file, in the order of its rows, so that rows that share a doc_id have the
+    places that they hold in the file. Null doc_ids come first, as they do in the files.
     """
     tuned(rows.sparkSession)
 
@@ -103,16 +107,17 @@ def offsets(rows: DataFrame) -> DataFrame:
             at = ids.offsets.to_numpy()
             raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<u4")).cast("B")
             crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64()), b.column(2)], ["doc_id", "n_tokens", "ids_crc32", "file"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64()), *b.columns[2:]], ["doc_id", "n_tokens", "ids_crc32", "file", "block", "row"])
 
-    named = rows.select("doc_id", "ids", F.col("_metadata.file_name").alias("file")).mapInArrow(lean(digest), "doc_id long, n_tokens long, ids_crc32 long, file string")
+    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")]
+    named = rows.select("doc_id", "ids", *place).mapInArrow(lean(digest), "doc_id long, n_tokens long, ids_crc32 long, file string, block long, row long")
     named = staged(named, "ids-read")  # both uses below read this, not the files twice
     files = named.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     order = Window.orderBy(F.col("least").asc_nulls_first(), F.col("most").asc_nulls_first(), "file")
     crossed = F.coalesce(F.lag("most").over(order) > F.col("least"), F.lit(False))
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = files.select("file", F.when(crossed, F.raise_error(F.lit("files of ids are not in the order of doc_id")).cast("long")).otherwise(before).alias("before"))
-    inside = Window.partitionBy("file").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file").orderBy("block", "row").rowsBetween(Window.unboundedPreceding, -1)
     return (named.withColumn("own", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(files, "file")
             .select("doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32"))
 

@@ -1,8 +1,9 @@
-"""Word-wise use of a public tokenizer: each distinct word is encoded once per worker, by the library itself."""
+"""Word-wise use of a public tokenizer: words are encoded by the library itself, and those met before are looked up."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from functools import lru_cache
 from unicodedata import is_normalized
 
@@ -12,8 +13,8 @@ import pyarrow.compute as pc
 
 #: Name of the default vocabulary file; every operator takes a path instead.
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept per worker (about 200 bytes each), and the longest one kept, in characters. Both bound memory only.
-MOST_WORDS, LONGEST_WORD = 1_000_000, 64
+#: Bytes of pieces and ids that a worker keeps. They bound memory only.
+MOST_BYTES = 12_000_000
 #: Marks that the splitter parts from letters before them; the apostrophe, which it may not part, is left out.
 LAST_LATIN = "\u0250"  # letters below it are the same in every version of Unicode in use
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -55,96 +56,63 @@ def letters_only(path: str | None = None):
     return t
 
 
-class WordEncoder:
-    """Encodes text word by word; a word is what stands between spaces and line feeds.
-
-    The vocabulary's splitter drops white space and no token crosses it, its normaliser composes no
-    character across it, and its special tokens hold none. So the ids of a text are those of its words
-    in order. A run of letters and the marks after it are split likewise. Words are encoded by the
-    library, unseen runs of letters all in one call: each ends in the one token that has the word end.
-    """
-
-    def __init__(self, path: str | None = None, most: int = MOST_WORDS) -> None:
-        self.most = most
-        self.library = tokenizer(path)
-        self.letters = letters_only(path)
-        self.memo: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
-        vocab = self.library.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes those of these words that the memo lacks, in few calls."""
-        memo = self.memo
-        new = words - memo.keys()
-        if len(memo) + len(new) > self.most:
-            memo.clear()
-            new = words
-        parted, plain, odd = [], set(), set()
-        for w in new:
-            stem = w.rstrip(MARKS)
-            low = stem.lower()
-            if low.isalpha() and (stem.isascii() or max(low) < LAST_LATIN and is_normalized("NFC", low)):
-                if low is not w and low != w:
-                    parted.append((w, low, w[len(stem) :]))
-                plain.add(low)
-            else:
-                odd.add(w)
-        plain = list(plain - memo.keys())
-        lines = [" ".join(plain[i : i + 200]) for i in range(0, len(plain), 200)]
-        got = [np.asarray(e.ids, "<u4") for e in self.letters.encode_batch_fast(lines, add_special_tokens=False)]
-        got = np.concatenate(got) if got else np.zeros(0, "<u4")
-        stop = 4 * (np.flatnonzero(self.ends[got]) + 1)
-        if len(stop) != len(plain):  # each run of letters ends in one token that has the word end
-            raise ValueError("the vocabulary splits runs of letters")
-        raw, at = got.tobytes(), 0
-        for w, to in zip(plain, stop.tolist(), strict=True):
-            memo[w] = raw[at:to]
-            at = to
-        odd = list(odd | {x for _, _, x in parted if x} - memo.keys())
-        for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            memo[w] = np.asarray(e.ids, "<u4").tobytes()
-        for w, low, x in parted:
-            memo[w] = memo[low] + memo[x] if x else memo[low]
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, 4 bytes each."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        self.learn(words)
-        known = self.memo.__getitem__
-        out = [b"".join(map(known, words)) for words in split]
-        self.forget(words)
-        return out
-
-    def forget(self, words: set[str]) -> None:
-        """Drops overlong words from the memo."""
-        for w in words:
-            if len(w) > LONGEST_WORD:
-                self.memo.pop(w, None)
-
-    def word(self, w: str) -> bytes:
-        """The ids of one word, long ones too."""
-        got = self.memo.get(w)
-        if got is None:
-            got = np.asarray(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(w) <= LONGEST_WORD:
-                if len(self.memo) >= self.most:
-                    self.memo.clear()
-                self.memo[w] = got
-        return got
-
-
-def _joined(starts: np.ndarray, sizes: np.ndarray, pool: np.ndarray) -> np.ndarray:
+def joined(starts: np.ndarray, sizes: np.ndarray, pool: np.ndarray) -> np.ndarray:
     """The pieces pool[start : start + size] one after the other."""
     ends = np.cumsum(sizes)
     return pool[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+class Memo:
+    """Ids of pieces that were met before, in flat arrays: a hash table of pieces is made for each lookup, by Arrow.
+
+    Beyond `most` bytes it keeps what was met again since the last time, or nothing if that is still half of it.
+    """
+
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], kind: pa.DataType, most: int = MOST_BYTES) -> None:
+        self.encode, self.kind, self.most = encode, kind, most
+        self.met = self.made = 0
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets everything."""
+        self.pieces, self.at, self.pool = pa.array([], self.kind), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.again = np.zeros(0, bool)
+
+    def shrink(self) -> None:
+        """Keeps the pieces that were met again."""
+        keep = np.flatnonzero(self.again)
+        sizes = np.diff(self.at)[keep]
+        pieces, pool = self.pieces.take(pa.array(keep)), joined(self.at[keep], sizes, self.pool)
+        self.clear()
+        if pieces.nbytes + pool.nbytes <= self.most // 2:
+            self.pieces, self.at, self.pool, self.again = pieces, np.concatenate([[0], np.cumsum(sizes)]), pool, np.zeros(len(pieces), bool)
+
+    def ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, size, pool): where the ids of each of these distinct pieces lie in the pool."""
+        if self.pieces.nbytes + self.pool.nbytes > self.most:
+            self.shrink()
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy().copy()
+        new = np.flatnonzero(at < 0)
+        self.again[at[at >= 0]] = True
+        self.met, self.made = self.met + len(at), self.made + len(new)
+        if len(new):
+            fresh = pieces.take(pa.array(new))
+            starts, ids = self.encode(fresh)
+            at[new] = len(self.pieces) + np.arange(len(new))
+            self.pieces = pa.concat_arrays([self.pieces, fresh])
+            self.at = np.concatenate([self.at, self.at[-1] + starts[1:]])
+            self.pool = np.concatenate([self.pool, ids])
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+        return self.at[at], self.at[at + 1] - self.at[at], self.pool
+
+
 class ColumnEncoder:
-    """Encodes a whole column: words are told apart by Arrow, each distinct run of letters goes to the library once.
+    """Encodes a whole column: words are told apart by Arrow, a word that a worker has met before is not encoded again.
 
-    The same cuts as WordEncoder makes, for columns large enough that no memo is needed between them.
+    The vocabulary's splitter drops white space and no token crosses it, its normaliser composes no
+    character across it, and its special tokens hold none. So the ids of a text are those of its words
+    in order. A run of letters and the marks after it are split likewise. Words are encoded by the
+    library, unseen runs of letters in few calls: each ends in the one token that has the word end.
     """
 
     def __init__(self, path: str | None = None) -> None:
@@ -152,6 +120,7 @@ class ColumnEncoder:
         vocab = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.memo = Memo(self._words, pa.large_string())
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (one more than texts). Null counts as empty."""
@@ -159,10 +128,10 @@ class ColumnEncoder:
         lists = pc.split_pattern(pc.replace_substring(texts.fill_null("").cast(pa.large_string()), "\n", " "), " ")
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
         coded = lists.flatten().dictionary_encode()
-        at, pool = self._words(coded.dictionary)
+        begin, size, pool = self.memo.ids(coded.dictionary)
         index = coded.indices.to_numpy()
-        sizes = np.diff(at)[index]
-        return _joined(at[:-1][index], sizes, pool), np.concatenate([[0], np.cumsum(sizes)])[bounds]
+        sizes = size[index]
+        return joined(begin[index], sizes, pool), np.concatenate([[0], np.cumsum(sizes)])[bounds]
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words in a row, and where each word's begin."""
@@ -197,16 +166,15 @@ class ColumnEncoder:
         for rows, part, at, index in ((where, 0, starts[0], runs.indices), (ended, 1, starts[1], marks.indices), (np.array(odd, np.int64), 0, starts[2], pa.array(np.arange(len(odd))))):
             index = index.to_numpy()
             begin[rows, part], size[rows, part] = at[:-1][index], np.diff(at)[index]
-        return np.concatenate([[0], np.cumsum(size.sum(1))]), _joined(begin.ravel(), size.ravel(), np.concatenate(pools))
+        return np.concatenate([[0], np.cumsum(size.sum(1))]), joined(begin.ravel(), size.ravel(), np.concatenate(pools))
 
     def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs of letters, many to a call; one by one where a run does not end in a single token of a word's end."""
         lines = [" ".join(runs[i : i + 200]) for i in range(0, len(runs), 200)]
         got = [np.asarray(e.ids, np.int32) for e in self.letters.encode_batch_fast(lines, add_special_tokens=False)]
         ids = np.concatenate([np.zeros(0, np.int32), *got])
         at = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
-        if len(at) != len(runs) + 1:  # each run of letters ends in one token that has the word end
-            raise ValueError("the vocabulary splits runs of letters")
-        return at, ids
+        return (at, ids) if len(at) == len(runs) + 1 and at[-1] == len(ids) else self._plain(runs)
 
     def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
@@ -217,9 +185,3 @@ class ColumnEncoder:
 def column_encoder(path: str | None = None) -> ColumnEncoder:
     """The worker's own encoder of columns."""
     return ColumnEncoder(path)
-
-
-@lru_cache(maxsize=2)
-def word_encoder(path: str | None = None, most: int = MOST_WORDS) -> WordEncoder:
-    """The worker's own encoder; it lives as long as the worker."""
-    return WordEncoder(path, most)
