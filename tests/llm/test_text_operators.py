@@ -195,6 +195,71 @@ def test_html_layout_wrappers(wrapper):
     assert html_text.extract(f'<body><article>{BODY}</article><div class="related"><article><p>{"Another one. " * 90}</p></article></div>') == want
 
 
+PROSE = [
+    "The ferry left the harbour at six and reached the island before the fog had lifted from the cliffs.",
+    "Nobody on board had slept, and the cook handed out coffee in tin mugs as if it were medicine.",
+    "Short one.",
+    "By noon the wind had turned, so the crew tied everything down and waited below for the rain to pass.",
+    "What they saw the next morning is described in the second part of this report, with a map.",
+]
+P = "".join(f"<p>{x}</p>" for x in PROSE)
+SOUP = "".join(f"<div>{x}</div>" for x in PROSE)
+LINKS = "".join(f'<div><a href="/{i}">Topic {i}</a></div>' for i in range(9))
+LIST = "<ul><li>two ropes</li><li>one lamp</li></ul>"
+#: Where the article is, and what its text is: layouts of all ages, most of which do not say what is content.
+LAYOUTS = {
+    "article": ("<article><h1>Fog</h1>{p}</article>", ["Fog", *PROSE]),
+    "main": ("<main><h1>Fog</h1>{p}{list}</main>", ["Fog", *PROSE, "two ropes", "one lamp"]),
+    "named div": ('<div class="post-body"><h2>Fog</h2>{p}</div>', ["Fog", *PROSE]),
+    "plain div": ("<div><h2>Fog</h2>{p}</div>", ["Fog", *PROSE]),
+    "list inside": ("<div><h2>Fog</h2><p>" + PROSE[0] + "</p>{list}{p}</div>", ["Fog", PROSE[0], "two ropes", "one lamp", *PROSE]),
+    "div soup": ("<div><div>{soup}</div></div>", PROSE),
+    "deep": ('<div id="a1"><div id="b2"><div id="c3"><h1>Fog</h1>{p}</div></div></div>', ["Fog", *PROSE]),
+    "table": ("<table><tr><td><h1>Fog</h1>{p}</td></tr></table>", ["Fog", *PROSE]),
+    "own header": ("<article><header><h1>Fog</h1><p>by a passenger</p></header>{p}</article>", ["Fog", "by a passenger", *PROSE]),
+    "own sections": ('<article><h1>Fog</h1><section id="discussion">{p}</section><h2 class="related-work">Work</h2><div class="legal">' + PROSE[3] + "</div></article>", ["Fog", *PROSE, "Work", PROSE[3]]),
+    "side by side": ('<div class="row layout has-sidebar"><div class="col"><h1>Fog</h1>{p}</div><div class="sidebar">' + PROSE[1] + "</div></div>", ["Fog", *PROSE]),
+    "no ads": ('<div class="page no-ads"><div class="article-footer">Filed under sea</div><div><h1>Fog</h1>{p}</div></div>', ["Fog", *PROSE]),
+    "advert inside": ('<article><h1>Fog</h1>{p}<div class="ad-slot">Buy one boat, get one free</div><p>' + PROSE[0] + '</p><div class="share-buttons">Share this</div></article>', ["Fog", *PROSE, PROSE[0]]),
+    "unclosed button": ("<div><button>Print<h1>Fog</h1>{p}</div>", ["Fog", *PROSE]),
+    "unclosed select": ("<div><div><select><option>A<option>B</div><h1>Fog</h1>{p}</div>", ["Fog", *PROSE]),
+    "quotation": ("<div><h1>Fog</h1><blockquote>{p}</blockquote><p>" + PROSE[4] + "</p></div>", ["Fog", *PROSE, PROSE[4]]),
+}
+AROUND = {
+    "nothing": ("", ""),
+    "named": ('<div class="site-header">The Sea</div><div id="navigation">' + LINKS + "</div>", '<div class="comments"><p>' + PROSE[0] + "</p><p>" + PROSE[1] + '</p></div><div id="footer">Imprint</div>'),
+    "elements": ("<header><h2>The Sea</h2></header><nav>" + LINKS + "</nav>", "<aside>" + PROSE[3] + "</aside><footer>Imprint</footer>"),
+    "unnamed": ("<div>" + LINKS + "</div>", "<div>" + LINKS + "</div><div><div>About</div><div>Terms</div><div>Press</div></div>"),
+}
+
+
+@pytest.mark.parametrize("around", sorted(AROUND))
+@pytest.mark.parametrize("layout", sorted(LAYOUTS))
+def test_html_layouts(layout, around):
+    body, want = LAYOUTS[layout]
+    before, after = AROUND[around]
+    page = "<!doctype html><html><head><title>Fog</title><body>" + before + body.format(p=P, soup=SOUP, list=LIST) + after
+    assert html_text.extract(page) == "\n".join(want)
+
+
+def test_html_density_decides(monkeypatch):
+    """Without smoothing and clustering, pages whose parts have no names give other texts."""
+    pages = [AROUND["unnamed"][0] + body.format(p=P, soup=SOUP, list=LIST) + AROUND["unnamed"][1] for body, _ in LAYOUTS.values()]
+    told = [html_text.extract(p) for p in pages]
+    monkeypatch.setattr(html_text, "dense_lines", lambda ratio: np.ones(len(ratio), bool))
+    assert sum(html_text.extract(p) != t for p, t in zip(pages, told, strict=True)) > 3
+    monkeypatch.setattr(html_text, "dense_lines", lambda ratio: np.zeros(len(ratio), bool))
+    assert sum(html_text.extract(p) != t for p, t in zip(pages, told, strict=True)) > 3
+
+
+def test_html_awkward_rows(spark):
+    long = "<article>" + "<p>a paragraph of a very long page</p>" * 20_000 + "</article>"
+    rows = [(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, "<p>y"), (2, None, None), (3, "v", long)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
+    got = sorted((r["page_id"] or 0, r["url"] or "", r["n_chars"]) for r in html_text.main_text(df).collect())
+    assert got == [(0, "", 1), (1, "u", 1), (1, "u", 1), (2, "", 0), (3, "v", 20_000 * 32 - 1)]
+
+
 # --- chats ------------------------------------------------------------------------------------------------------
 
 CHAT = [

@@ -1,11 +1,16 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
-A line is the text between two block boundaries, as the standard library's streaming parser reports them.
-Lines inside elements that are no content by what they are or say they are (menus, footers, forms, notices,
-adverts, comments, scripts) are set aside. Of the others, the ratio of characters to tags is smoothed over
-neighbouring lines and split in two by an iterated threshold; the lines above it are dense. The content region
-is the smallest container that holds most of the dense text; what it has besides is kept as well, as headings
-and short paragraphs have few characters for their tags.
+A line is the text between two block boundaries, as the standard library's streaming parser reports them. Lines
+inside elements that are by their nature no content (menus, footers, forms, scripts) or say so (adverts, notices,
+comments, sidebars) are set aside. Of the others, the ratio of unlinked characters to tags is smoothed over
+neighbouring lines and split in two by an iterated threshold; the lines above it are dense. Density then decides:
+
+- the content region is the innermost container that still holds most of the dense text;
+- a box inside the region that has hardly any dense text, and is mostly links, is a menu without a name;
+- where no element marks the article, sparse boxes before the first and after the last dense line are left out;
+- names that only may say that a box is no content are believed if the box is not dense.
+
+All else inside the region stays, as headings and short paragraphs have few characters for their tags.
 """
 
 from __future__ import annotations
@@ -25,58 +30,91 @@ from voxframe.llm.common import lean, tuned
 SIGMA, REGION_SHARE = 1.5, 0.8
 #: Times that dense lines must exceed sparse ones on average for the split to mean anything.
 SPREAD = 2.0
-#: Longest run of sparse lines between dense ones that is kept where no element marks the article.
-GAP = 3
+#: Ratio, in characters a tag, that counts as prose: longer paragraphs are no denser, or one of them would make others sparse.
+FULL_LINE = 80
+#: A box is sparse if less than this share of its text is dense, and a menu if more than this share of it is linked.
+HALF = 0.5
+#: A box named as no content whose removal leaves less than this share of the dense text is a wrapper around the page.
+WRAPPER_REST = 0.1
 
-# Elements by role, and words in class, id or role that mark what is no content.
-RAW = frozenset("script style noscript template iframe svg object select option textarea button canvas audio video math head title datalist".split())
+# Elements by role, and words of class, id or role names.
+RAW = frozenset("script style noscript template iframe svg object select option optgroup textarea button canvas audio video math head title datalist".split())
+#: Those of them that hold no blocks: a block's start means that their end tag is missing.
+INLINE_RAW = frozenset("svg select option optgroup button math title datalist".split())
 #: What may stand in a head: anything else ends it, as its end tag is optional.
 METADATA = frozenset("base basefont bgsound link meta title script style noscript template head html".split())
 NOISE = frozenset("nav aside footer form dialog menu".split())
 MARKED = frozenset("article main".split())
+TOPS = frozenset("root html body".split())
 CONTAINERS = frozenset("html body div section article main header nav aside footer form dialog menu ul ol dl table tbody thead tr td th blockquote figure details fieldset".split())
+BOXES = frozenset("div section ul ol dl table fieldset details".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address figcaption caption summary legend center".split())
 SINGLES = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 pre address figcaption caption summary".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|foot|masthead|site-?header|page-?header|top-?bar|sidebar|side|aside|widgets?|"
-    r"ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
-    r"comments?|comment-?list|respond|replies|discussion|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|"
-    r"pagination|pager|toolbar|copyright|legal|skip-?link|contentinfo|complementary)(?=$|[\s_-])", re.I)
-CONTENT = re.compile(r"(?:^|[\s_-])(?:content|article|post|story|entry|main|body|text|page|blog)(?=$|[\s_-])", re.I)
-COMMENT = re.compile(r"(?:^|[\s_-])comments?(?=$|[\s_-])", re.I)
-HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
+#: Names of what the article is to be freed from.
+NAMED = frozenset(
+    "nav navbar navigation menu menus breadcrumb breadcrumbs footer foot sidebar sidebars aside ad ads advert adverts advertisement advertisements advertising "
+    "sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup comment comments respond replies disqus share sharing social related "
+    "newsletter subscribe subscription signup pagination pager skip contentinfo complementary banner".split()
+)
+#: Names that the article's own parts may have too.
+MAYBE = frozenset("discussion legal copyright recommended recommendation recommendations widget widgets toolbar topbar side alert modal overlay login search author".split())
+#: Names of a page's or an article's head.
+HEADER = frozenset("header masthead".split())
+#: Words that a name may hold besides: "cookie-bar" is a name of cookies, "related-work" is none of what is related.
+PLAIN = frozenset(
+    "list lists box boxes area areas block blocks container containers wrap wrapper section sections bar item items link links form button buttons icon icons "
+    "site page pages global main top bottom left right primary secondary article articles post posts content entry slot unit text title inner outer panel col column "
+    "group row js id mobile desktop sticky fixed policy message media tag tags story stories news more to 1 2 3 4".split()
+)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
-#: An article below a container whose hint may only name the layout ("has-sidebar"), noise by a hint, noise for certain.
-DOUBT, HINTED, CERTAIN = 1, 2, 3
+PARTS = re.compile(r"[-_]+")
+#: What a container says of itself: nothing, perhaps no content, a head, no content, certainly none.
+NONE, DOUBTED, HEAD, HINTED, CERTAIN = range(5)
+
+
+def hint(words: str) -> int:
+    """What class, id and role names say of an element. All parts of a name must be known, one of them as no content."""
+    most = NONE
+    for word in words.lower().split():
+        parts = [p for p in PARTS.split(word) if p]
+        if not parts or any(p not in NAMED and p not in MAYBE and p not in HEADER and p not in PLAIN for p in parts):
+            continue
+        if any(p in NAMED for p in parts):
+            return HINTED
+        if any(p in HEADER for p in parts):
+            most = HEAD
+        elif any(p in MAYBE for p in parts):
+            most = max(most, DOUBTED)
+    return most
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, linked characters, container, noise) of each line of a page; noise is 0 or one of the levels."""
+    """Collects (text, tags, linked characters, container, whether it is a heading) of each line, and the containers."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, int]] = []
-        self.parents, self.names = [-1], ["root"]
-        self.named = [False]  # whether a container's class or id says that it holds the content
-        self.stack = [(0, "root", 0)]  # container, element, noise
+        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.parents, self.names, self.says = [-1], ["root"], [NONE]
+        self.stack = [(0, "root")]  # container, element
         self.raw: list[str] = []
         self.text: list[str] = []
+        self.heading = False
         self.tags = self.links = self.linked = 0
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            node, _, noise = self.stack[-1]
-            self.lines.append((text, max(1, self.tags), min(self.linked, len(text)), node, noise))
+            self.lines.append((text, max(1, self.tags), min(self.linked, len(text)), self.stack[-1][0], self.heading))
             self.tags = 0
         self.text.clear()
         self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
-        if self.raw and self.raw[0] == "head" and (tag == "body" or self.raw == ["head"] and tag not in METADATA):
+        if self.raw and (self.raw[0] == "head" and (tag == "body" or self.raw == ["head"] and tag not in METADATA) or tag in BLOCKS and self.raw[0] in INLINE_RAW):
             self.raw.clear()
         if self.raw:
             if tag == self.raw[-1] or self.raw == ["head"] and tag in RAW:
@@ -92,62 +130,61 @@ class Lines(HTMLParser):
         if tag not in BLOCKS:
             return
         self.flush()
+        self.heading = tag in HEADINGS
         last = self.stack[-1][1]
         if last == "p" or last == tag and tag in SINGLES:  # such elements end where the next one begins
             self.stack.pop()
         if tag in ("td", "th", "tbody", "thead", "html"):
             return
+        says = self.said(tag, attrs)
         if tag not in CONTAINERS:
-            if attrs and (noise := self.hinted(tag, attrs)):
-                self.push(tag, max(noise, self.stack[-1][2]), attrs)
+            if says:
+                self.push(tag, says)
             return
         self.links = 0
         if tag in MARKED:  # an article inside a menu means that the menu was not closed
-            for i, (_, element, _) in enumerate(self.stack):
+            for i, (_, element) in enumerate(self.stack):
                 if element in NOISE:
                     del self.stack[i:]
                     break
-        above, own = self.stack[-1][2], self.hinted(tag, attrs) if attrs else 0
+        self.push(tag, says)
+
+    @staticmethod
+    def said(tag: str, attrs: list) -> int:
+        """What an element and its attributes say of whether it is content."""
+        if attrs:
+            said = dict(attrs)
+            if "hidden" in said or said.get("aria-hidden") == "true" or HIDDEN.search(said.get("style") or ""):
+                return CERTAIN
+            own = hint(" ".join(said.get(k) or "" for k in ("class", "id", "role")))
+        else:
+            own = NONE
         if tag in NOISE:
-            own = CERTAIN
-        elif tag == "header" and not self.marked():
-            own = max(own, HINTED)
-        if tag in MARKED and above == HINTED:
-            above = DOUBT
-        self.push(tag, max(above, own), attrs)
-
-    def marked(self) -> bool:
-        """Whether an article is open."""
-        return any(e in MARKED for _, e, _ in self.stack)
-
-    def hinted(self, tag: str, attrs: list) -> int:
-        """How far attributes say that an element is no content."""
-        said = dict(attrs)
-        if "hidden" in said or said.get("aria-hidden") == "true" or HIDDEN.search(said.get("style") or ""):
             return CERTAIN
-        hint = " ".join(said.get(k) or "" for k in ("class", "id", "role"))
         if tag in ("body", "main"):
-            return 0
-        if tag == "article":
-            return HINTED * (COMMENT.search(hint) is not None)
-        return HINTED * (HINTS.search(hint) is not None or HEADER.search(hint) is not None and not self.marked())
+            return NONE
+        return max(own, HEAD) if tag == "header" else own
 
-    def push(self, tag: str, noise: int, attrs: list) -> None:
+    def push(self, tag: str, says: int) -> None:
         self.parents.append(self.stack[-1][0])
         self.names.append(tag)
-        self.named.append(tag in ("div", "section") and any(CONTENT.search(v or "") for k, v in attrs if k in ("class", "id", "itemprop")))
-        self.stack.append((len(self.parents) - 1, tag, noise))
+        self.says.append(says)
+        self.stack.append((len(self.parents) - 1, tag))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if self.raw:
             if tag in self.raw:
                 del self.raw[len(self.raw) - 1 - self.raw[::-1].index(tag) :]
-            return
+                return
+            if self.raw[0] in ("script", "style", "head") or tag not in CONTAINERS or all(e != tag for _, e in self.stack):
+                return
+            self.raw.clear()  # the element around it ends: its own end tag is missing
         if tag == "a":
             self.links = max(0, self.links - 1)
         elif tag in BLOCKS:
             self.flush()
+            self.heading = False
             if tag in CONTAINERS or tag in SINGLES:
                 for i in range(len(self.stack) - 1, 0, -1):
                     if self.stack[i][1] == tag:
@@ -204,61 +241,92 @@ def dense_lines(ratio: np.ndarray) -> np.ndarray:
     return ratio > t
 
 
+def _masses(parents: list[int], lines: list[tuple], weights: np.ndarray) -> np.ndarray:
+    """The weight of the lines in each container, those of containers inside it too."""
+    out = np.zeros(len(parents))
+    np.add.at(out, [x[3] for x in lines], weights)
+    for node in range(len(parents) - 1, 0, -1):  # a child comes after its parent
+        out[parents[node]] += out[node]
+    return out
+
+
+def _below(parents: list[int], flags: np.ndarray) -> np.ndarray:
+    """Which containers are flagged or lie in one that is."""
+    out = flags.copy()
+    for node in range(1, len(parents)):
+        out[node] |= out[parents[node]]
+    return out
+
+
+def _dense(lines: list[tuple]) -> np.ndarray:
+    return dense_lines(smoothed(np.minimum(FULL_LINE, np.array([(len(text) - linked) / tags for text, tags, linked, _, _ in lines]))))
+
+
 def extract(html: str | None) -> str:
     """The main text of one page; empty if it has none."""
-    parser = Lines()
-    parser.feed(html or "")
-    parser.close()
-    parser.raw.clear()
-    parser.flush()
-    parents, names = parser.parents, parser.names
-    said = [False]  # whether a container or one around it says that it holds the content
-    for node in range(1, len(parents)):
-        said.append(said[parents[node]] or names[node] in MARKED or parser.named[node])
-    most = 0 if any(said[node] for _, _, _, node, noise in parser.lines if not noise) else DOUBT
-    lines = [x for x in parser.lines if x[4] <= most]
+    page = Lines()
+    page.feed(html or "")
+    page.close()
+    page.raw.clear()
+    page.flush()
+    parents, names, says = page.parents, page.names, np.array(page.says)
+    certain = _below(parents, says == CERTAIN)
+    lines = [x for x in page.lines if not certain[x[3]]]
+    if not lines:
+        return ""
+
+    # boxes that say that they are no content, unless they are wrappers around all of it
+    dense = _dense(lines)
+    size = np.array([len(x[0]) for x in lines], float)
+    mass = _masses(parents, lines, size * dense)
+    hinted = says == HINTED
+    named = _below(parents, hinted)
+    if size[dense].sum() and mass[0] - sum(mass[n] for n in np.flatnonzero(hinted) if not named[parents[n]]) < WRAPPER_REST * mass[0]:
+        heavy = [n for n in np.flatnonzero(hinted) if mass[n] >= (1 - WRAPPER_REST) * mass[0]]
+        hinted[heavy] = False
+        named = _below(parents, hinted)
+    lines = [x for x in lines if not named[x[3]]]
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(text) * (1 - linked / max(1, len(text))) / tags for text, tags, linked, _, _ in lines]))
-    dense = dense_lines(ratio)
-    weight = np.zeros(len(parents))
-    for (text, _, _, node, _), d in zip(lines, dense, strict=True):
-        while d and node >= 0:
-            weight[node] += len(text)
-            node = parents[node]
+
+    # the region: down to the innermost container with most of the dense text
+    dense = _dense(lines)
+    size = np.array([len(x[0]) for x in lines], float)
+    linked = np.array([x[2] for x in lines], float)
+    of = np.array([x[3] for x in lines])
+    mass, whole = _masses(parents, lines, size * dense), _masses(parents, lines, size)
+    links = _masses(parents, lines, linked)
     region = 0
-    for node in range(1, len(parents)):  # a child comes after its parent
-        if parents[node] == region and weight[node] >= REGION_SHARE * weight[0] and weight[node] > 0:
+    for node in range(1, len(parents)):
+        if parents[node] == region and names[node] not in SINGLES and mass[node] >= REGION_SHARE * mass[0] and mass[node] > 0:
             region = node
-    marked = [i for i, n in enumerate(names) if n in MARKED]
-    up = region
-    while up > 0 and names[up] not in MARKED:
-        up = parents[up]
-    if up == 0:
-        up = region
-        while up > 0 and not parser.named[up]:
-            up = parents[up]
-    if up > 0:
-        region = up
-    elif marked and (best := max(marked, key=lambda i: weight[i])) and weight[best] > 0:
-        region = best
+    while region and (names[region] not in CONTAINERS or names[region] in ("ul", "ol", "dl", "table", "tr", "blockquote", "figure", "header")):
+        region = parents[region]  # a list or a quotation is part of an article
+    marked = region
+    while marked > 0 and names[marked] not in MARKED:
+        marked = parents[marked]
+    region = marked or region
     inside = np.zeros(len(parents), bool)
     inside[region] = True
-    for node in range(region + 1, len(parents)):
-        inside[node] = inside[parents[node]]
-    keep = np.array([inside[node] for _, _, _, node, _ in lines])
-    if names[region] not in MARKED and not parser.named[region]:  # nothing says where the article is: dense lines, and short gaps between them
-        at = np.flatnonzero(dense & keep)
-        near = np.zeros(len(lines), bool)
-        near[at] = True
-        for a, b in zip(at, at[1:], strict=False):
-            if b - a - 1 <= GAP:
-                near[a : b + 1] = True
-        keep &= near & np.array([linked <= 0.6 * len(text) for text, _, linked, _, _ in lines])
-        heads = [i for i in range(max(0, at[0] - 1), at[0])] if len(at) else []
-        for i in heads:  # a heading right above
-            keep[i] |= inside[lines[i][3]] and lines[i][2] == 0
-    return "\n".join(text for (text, _, _, _, _), k in zip(lines, keep, strict=True) if k)
+    inside = _below(parents, inside)
+
+    sparse = mass < HALF * whole
+    drop = (says == HEAD) & (~inside | (names[region] in TOPS))
+    drop |= (says == DOUBTED) & sparse
+    drop |= np.array([n in BOXES for n in names]) & sparse & (links > HALF * whole)
+    drop[region] = False
+    drop = _below(parents, drop)
+    keep = inside[of] & ~drop[of]
+    if not marked and (at := np.flatnonzero(dense & keep)).size:  # nothing marks the article: no sparse boxes at its ends
+        ends = np.zeros(len(lines), bool)
+        ends[: at[0]] = ends[at[-1] + 1 :] = True
+        boxed = np.array([n in ("div", "section", "table") for n in names]) & sparse
+        boxed[: region + 1] = False
+        boxed = _below(parents, boxed)
+        top = names[region] in TOPS
+        heading = np.array([x[4] for x in lines])
+        keep &= ~(ends & (boxed[of] | (linked > HALF * size) | top & ~heading & (of == region) & (np.arange(len(lines)) < at[0])))
+    return "\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
