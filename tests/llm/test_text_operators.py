@@ -282,7 +282,7 @@ def test_quotes(spark):
     assert [one[t]["parent_turn"] for t in range(6)] == [None, 0, 1, None, 0, 0]
     assert [one[t]["depth"] for t in range(6)] == [0, 1, 2, 0, 1, 1]
     assert one[2]["content"] == "Thank you, that suits us well." and one[2]["n_passages"] == 2
-    assert sorted(one, key=lambda t: one[t]["reply_path"]) == [0, 1, 2, 4, 5, 3]
+    assert sorted(one, key=lambda t: (one[t]["root_turn"], one[t]["position"])) == [0, 1, 2, 4, 5, 3]
     assert one[3]["formatted"] == "<|user|>\nAn unrelated question about the parking spaces."
     assert next(r for r in rows if r["conv_id"] == 2)["parent_turn"] is None
     assert quotes.reply_ordered(df.limit(0)).count() == 0
@@ -291,7 +291,10 @@ def test_quotes(spark):
 def test_quotes_equal_sql_on_quotes(spark, tmp_path):
     import duckdb
 
-    chat = [c for c in CHAT if c[0] is not None]
+    r = random.Random(2)
+    short = ["yes", "no", "maybe so", "I see", "ok"]
+    more = [(c, t, "user", "\n".join(["> " * r.randint(0, 2) + r.choice(short) for _ in range(r.randint(1, 4))])) for c in (7, 8) for t in range(25)]
+    chat = [c for c in CHAT if c[0] is not None] + more
     spark.createDataFrame(chat, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations")
     con = duckdb.connect()
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations/*.parquet'")
@@ -305,7 +308,33 @@ def test_long_reply_chain(spark):
     say = [f"Message number {i} says something of its own." for i in range(40)]
     rows = [(1, i, "user", (f"> {say[i - 1]}\n" if i else "") + say[i]) for i in range(40)]
     got = quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert {r["turn"]: r["depth"] for r in got} == {i: i for i in range(40)}
+    assert {r["turn"]: (r["root_turn"], r["depth"], r["position"]) for r in got} == {i: (0, i, i) for i in range(40)}
+
+
+def test_short_passages_link(spark):
+    rows = [(1, 0, "user", "Shall I send it?\nYes please"), (1, 1, "user", "> Yes please\nDone."), (1, 2, "user", "> ...\nWhat?"), (1, 3, "user", ">ok\nok"), (1, 4, "user", "> ok\nfine")]
+    got = {r["turn"]: r["parent_turn"] for r in quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: None, 1: 0, 2: None, 3: None, 4: 3}
+
+
+def test_reply_trees_equal_a_walk(spark):
+    r = random.Random(8)
+    parents = [(c, t, r.randrange(max(0, t - 6), t)) for c in range(5) for t in range(1, 80) if r.random() < 0.8]
+    got = {(x["conv_id"], x["turn"]): (x["root_turn"], x["depth"], x["position"]) for x in quotes.trees(spark.createDataFrame(parents, "conv_id long, turn long, parent long")).collect()}
+    below, up = defaultdict(list), {(c, t): p for c, t, p in parents}
+    for c, t, p in parents:
+        below[c, p].append(t)
+    want = {}
+
+    def walk(c, t, root, depth, count):
+        want[c, t] = (root, depth, next(count))
+        for child in sorted(below[c, t]):
+            walk(c, child, root, depth + 1, count)
+
+    for c, t in list(below):
+        if (c, t) not in up:
+            walk(c, t, t, 0, iter(range(1000)))
+    assert got == {k: v for k, v in want.items() if k in up}
 
 
 # --- similarity -------------------------------------------------------------------------------------------------

@@ -108,7 +108,7 @@ WITH RECURSIVE m AS (
 ), said AS (
   SELECT conv_id, turn, trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')) AS words FROM (SELECT conv_id, turn, body FROM lines WHERE level = 0 UNION ALL SELECT conv_id, turn, reply FROM own)
 ), origin AS (
-  SELECT conv_id, words, min(turn) AS origin FROM said WHERE length(words) >= 12 GROUP BY ALL
+  SELECT conv_id, words, min(turn) AS origin FROM said WHERE length(words) > 0 GROUP BY ALL
 ), best AS (
   SELECT a.r, a.conv_id, a.turn, arg_max(o.origin, (-a.level, length(a.words), o.origin)) AS parent
   FROM asked a JOIN origin o ON a.conv_id = o.conv_id AND a.words = o.words AND o.origin < a.turn GROUP BY ALL
@@ -117,12 +117,14 @@ WITH RECURSIVE m AS (
   SELECT conv_id, turn, parent, [parent, turn] AS path FROM up
   UNION ALL SELECT w.conv_id, w.turn, u.parent, list_prepend(u.parent, w.path) FROM way w JOIN up u ON u.conv_id = w.conv_id AND u.turn = w.parent
 ), path AS (SELECT conv_id, turn, arg_max(path, len(path)) AS path FROM way GROUP BY ALL
+), place AS (SELECT *, row_number() OVER (PARTITION BY conv_id, path[1] ORDER BY path) AS position FROM path
 ), n AS (SELECT r, count(*) AS n FROM passages GROUP BY r)
 SELECT own.conv_id, own.turn, own.role, best.parent AS parent_turn,
-  CASE WHEN best.parent IS NULL THEN 0 ELSE len(path.path) - 1 END AS depth,
-  array_to_string([lpad(t::VARCHAR, 10, '0') FOR t IN (CASE WHEN best.parent IS NULL THEN [own.turn] ELSE path.path END)], '/') AS reply_path,
+  CASE WHEN best.parent IS NULL THEN own.turn ELSE place.path[1] END AS root_turn,
+  CASE WHEN best.parent IS NULL THEN 0 ELSE len(place.path) - 1 END AS depth,
+  CASE WHEN best.parent IS NULL THEN 0 ELSE place.position END AS position,
   coalesce(n.n, 0) AS n_passages, reply AS content, '<|' || coalesce(own.role, '') || '|>' || chr(10) || reply AS formatted
-FROM own LEFT JOIN best ON best.r = own.r LEFT JOIN path ON path.conv_id = own.conv_id AND path.turn = own.turn LEFT JOIN n ON n.r = own.r
+FROM own LEFT JOIN best ON best.r = own.r LEFT JOIN place ON place.conv_id = own.conv_id AND place.turn = own.turn LEFT JOIN n ON n.r = own.r
 """
 
 _SIMILAR = r"""
