@@ -738,6 +738,21 @@ def test_leaks_on_awkward_rows(spark):
     assert decontaminate.find_leaks(df, items.limit(0)).count() == 0 and decontaminate.find_leaks(df.limit(0), items).count() == 0
 
 
+def test_short_items_have_a_budget(spark):
+    items = spark.createDataFrame([(1, "The quick brown fox jumps over a dog"), (2, "a short item")], "item_id long, text string")
+    texts = ["Then the quick, brown fox jumped over a dog again.", "This is a short  ITEM!", "a shore item", "The slow brown fox sat on a dog"]
+    got = sorted(tuple(r) for r in decontaminate.find_leaks(docs_of(spark, texts), items).collect())
+    assert got == [(0, 1, 2), (1, 2, 0)]
+
+
+def test_passes_of_a_large_benchmark(spark):
+    r = random.Random(3)
+    items = [(i, " ".join("".join(r.choice("abcdefg") for _ in range(r.randint(2, 8))) for _ in range(r.randint(1, 30)))) for i in range(40)]
+    texts = [f"before {items[i % 40][1]} and after {items[(7 * i) % 40][1]}" for i in range(60)]
+    one, many = (sorted(map(tuple, decontaminate.find_leaks(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string"), pass_bytes=n).collect())) for n in (10**6, 900))
+    assert one == many and len(one) >= 100
+
+
 # --- lines ------------------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,10 @@ whole item is verified with Myers' bit-parallel edit distance, run for many hits
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +21,7 @@ from voxframe.llm.common import keep_ids, lean, slices, staged, tuned, utf8
 
 #: Edits allowed for each byte of an item's normalised text.
 ERROR_RATE = 0.08
-#: Items shorter than this, in bytes, must occur exactly, at word ends: a piece of them says nothing.
-LEAST_BYTES = 40
-#: Bytes of items that one pass searches for; a larger benchmark takes several passes over the documents.
+#: Bytes of items that one pass searches for; a larger benchmark takes several passes over the documents, one after the other.
 PASS_BYTES = 8_000_000
 
 _WORD = np.ones(256, bool)
@@ -61,8 +62,8 @@ class Matcher:
             text = raw[at[i] : at[i + 1]]
             if item is None or len(text) < 3:
                 continue
-            k = int(rate * (len(text) - 2)) if len(text) - 2 >= LEAST_BYTES else 0
-            if k:
+            k = int(rate * (len(text) - 2))
+            if k:  # an item too short for an edit must stand between word ends
                 text = text[1:-1]
             cuts = [len(text) * j // (k + 1) for j in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -76,7 +77,11 @@ class Matcher:
         if pieces:
             self.automaton.make_automaton()
         self.words = [-(-len(t) // 64) for t in self.texts]
-        self.place = [self.words[:i].count(w) for i, w in enumerate(self.words)]
+        seen: Counter[int] = Counter()
+        self.place = []
+        for w in self.words:
+            self.place.append(seen[w])
+            seen[w] += 1
         self.masks: dict[int, np.ndarray] = {}
 
     def mask(self, words: int) -> np.ndarray:
@@ -156,6 +161,12 @@ class Matcher:
         yield from ((row, self.ids[item], d) for (row, item), d in least.items())
 
 
+@lru_cache(maxsize=1)
+def _matcher(name: str, items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
+    """The worker's own matcher of a pass: the automaton is made once a worker, not once a task."""
+    return Matcher(list(items), rate)
+
+
 def _passes(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
     """The items in groups of bounded size, in order of their ids."""
     group, size = [], 0
@@ -174,18 +185,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
 
     Texts are lowered and every run of ASCII characters that are no letters or digits is one space; the
     distance counts bytes of that form, and is the least over the document. The budget is rate times the
-    item's length; items under LEAST_BYTES must occur exactly, as whole words. Null or empty documents and
-    items match nothing. Rows that share a doc_id (or an item_id) give one row, with the least distance;
-    rows without a doc_id are left out. Other columns are not read.
+    item's length in bytes of that form, rounded down, and may be 0: such short items must occur exactly, as
+    whole words. Null or empty documents and items match nothing. Rows that share a doc_id (or an item_id)
+    give one row, with the least distance; rows without a doc_id are left out. Other columns are not read.
+    A benchmark of more than pass_bytes is searched in several passes, each of which is written before the
+    next one's items are sent: neither the driver nor a worker holds more than one pass of it.
     """
     spark = tuned(docs.sparkSession)
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = None
-    for group in _passes(benchmark, pass_bytes):
-        sent = spark.sparkContext.broadcast(group)  # of PASS_BYTES at most
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, rate)
+    def searched(group: list[tuple[int, str]]) -> tuple[DataFrame, object]:
+        sent, name = spark.sparkContext.broadcast(tuple(group)), uuid.uuid4().hex  # of pass_bytes at most
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(name, sent.value, rate)
             for b in batches:
                 _, offsets = utf8(b.column(1))
                 for lo, hi in slices(offsets):
@@ -193,8 +206,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
                     ids = b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                     yield pa.RecordBatch.from_arrays([pa.array([int(ids[r]) for r, _, _ in found], pa.int64()), pa.array([i for _, i, _ in found], pa.int64()), pa.array([d for _, _, d in found], pa.int64())], ["doc_id", "item_id", "distance"])
 
-        part = rows.mapInArrow(lean(run), "doc_id long, item_id long, distance long")
+        return rows.mapInArrow(lean(run), "doc_id long, item_id long, distance long"), sent
+
+    out, passes = None, _passes(benchmark, pass_bytes)
+    group, ahead = next(passes, None), next(passes, None)
+    while group:
+        part, sent = searched(group)
+        if out is not None or ahead:
+            part = staged(part, "leaks")
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
+        group, ahead = ahead, next(passes, None)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, distance long")
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
