@@ -553,6 +553,32 @@ def test_address_without_digits_or_at_sign(before):
     assert own == [] and [(k, text[s:e]) for s, k, e in spans] == [(0, "jane.doe (at) example dot com")]
 
 
+def test_unread_windows_hold_no_span(monkeypatch):
+    """Reading every window finds no span, of those that are kept, away from the signs that open windows."""
+    r = random.Random(12)
+    texts = [" ".join(pii.example(r)[0] + " and so on" * r.choice([0, 20]) for _ in range(3)) for _ in range(60)]
+    signs = [[m.span() for m in pii._OPENS.finditer(t)] for t in texts]
+    monkeypatch.setattr(pii, "_OPENS", re.compile("(?s)."))
+    for (_, spans), at in zip(pii.all_spans(texts, pii.trained()), signs, strict=True):
+        assert all(any(s <= x and y <= e for x, y in at) for s, _, e in spans)
+
+
+@pytest.mark.parametrize("kind", range(5))
+def test_recall_of_the_model(kind):
+    """On generated texts that were not trained on, exact spans."""
+    r = random.Random(77)
+    rows = [pii.example(r) for _ in range(400)]
+    found = pii.all_spans([t for t, _ in rows], pii.trained())
+    hits = [x in set(s) for (_, want), (_, s) in zip(rows, found, strict=True) for x in want if x[1] == kind]
+    assert len(hits) > 100 and np.mean(hits) >= 0.95
+
+
+def test_secrets_have_their_own_column(spark):
+    text = 'Un token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e" est la. Version 3.12 of a token'
+    row = pii.find_personal(docs_of(spark, [text])).collect()[0]
+    assert row["secrets"] == f"secret:{text.index('2321')}:{text.index('2321') + 40}" and row["n_found"] == 1 and row["spans"] == ""
+
+
 # --- tokens -----------------------------------------------------------------------------------------------------
 
 ODD = ["", "  ", "á\n ̈b", "ΑΣ Σ ΑΣ. Σ", "<|endoftext|>x <|start oftext|> <|endoftext|>", "it's we're'll 'd", "\t\x0b日本語 🎉👩‍👩‍👧 12 34", "x" * 5000, "İstanbul ǅ", "a b　c ͅ Å", "'", " s", "Ünïcode, Straße!! (ok)... --- a_b 3.14", "İ ß ﬁ ẞ"]

@@ -3,8 +3,9 @@
 The model is trained in numpy from labelled spans, which a generator writes: the base kinds as they usually look
 and as people write them to escape patterns. It reads overlapping windows of fixed size. Their scores for each
 character are averaged where windows overlap, the middle of a window weighing most, and the best tags are decoded
-once over all that hangs together, so that windows cannot disagree. Every kind needs a digit, an @ or a bracketed
-"at" within its span, and no window without one is read. What the model finds is kept if it holds what its kind must hold.
+once over all that hangs together, so that windows cannot disagree. What the model finds is kept if it holds what
+its kind must hold, which for every kind is a digit, an @ or a bracketed "at" (see `sound`): a window that touches
+none of these cannot hold a span that is kept, and is not read.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from pyspark.sql import functions as F
 from voxframe.llm.common import lean, tuned
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the model tells apart: the base kinds, and secrets (keys, tokens, passwords), which have a column of their own.
+TOLD, SECRET = (*KINDS, "secret"), 4
 #: Window and step in characters, and windows that are scored at once.
 WINDOW, STEP, AT_ONCE = 96, 48, 512
 #: Sizes of the character vectors and of each direction's state.
-EMBED, HIDDEN = 16, 24
+EMBED, HIDDEN = 16, 32
 #: Training: examples, steps, examples a step, rate. The examples are generated; these bounds do not depend on the input.
-EXAMPLES, STEPS, BATCH, RATE = 3000, 260, 48, 0.01
+EXAMPLES, STEPS, BATCH, RATE = 8000, 700, 48, 0.01
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -83,7 +86,7 @@ def base_spans(text: str) -> list[Span]:
 
 def as_text(spans: list[Span]) -> str:
     """kind:start:end, joined by commas."""
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    return ",".join(f"{TOLD[k]}:{s}:{e}" for s, k, e in spans)
 
 
 # --- labelled spans ---------------------------------------------------------------------------------------------
@@ -107,8 +110,9 @@ def _card(r: random.Random) -> str:
 def _email(r: random.Random) -> str:
     at = r.choice(["@", "@", "@", " @ ", "(at)1", " [at] ", " (at) "]).replace("(at)1", "(at)")
     dot = "." if at == "@" else r.choice([".", " . ", " [dot] ", "(dot)", " dot "])
-    user = _word(r) + r.choice(["", ".", "_", "-"]) + r.choice([_word(r), _number(r, r.randint(1, 3))])
-    return user + at + _word(r) + r.choice(["", _number(r, 1)]) + dot + r.choice(["example" + dot, ""]) + r.choice("com org net de fr es io".split())
+    plain = lambda: "".join(c for c in _word(r) if c.isascii())  # noqa: E731  the base pattern's addresses are ASCII
+    user = plain() + r.choice(["", ".", "_", "-"]) + r.choice([plain(), _number(r, r.randint(1, 3))])
+    return user + at + plain() + r.choice(["", _number(r, 1)]) + dot + r.choice(["example" + dot, ""]) + r.choice("com org net de fr es io".split())
 
 
 def _ip(r: random.Random) -> str:
@@ -122,9 +126,20 @@ def _phone(r: random.Random) -> str:
     return lead + r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"({a}){b}-{c}", f"{a} {b} {c}", f"{a}.{b}.{c}"])
 
 
+def _secret(r: random.Random) -> tuple[str, str, str]:
+    """A secret with what stands before and after it."""
+    hexes, letters = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda some, n: "".join(r.choice(some) for _ in range(n))
+    name = r.choice("token key secret password api_key access_token auth client_secret TOKEN SECRET_KEY".split())
+    value = r.choice([lambda: draw(hexes, r.choice([32, 40, 40, 64])), lambda: draw(letters, r.randint(20, 44)), lambda: "AKIA" + draw(letters[:26] + letters[52:], 16),
+                      lambda: "ghp_" + draw(letters, 36), lambda: "sk-" + draw(letters, r.choice([32, 48])), lambda: draw(letters + "+/", r.randint(24, 40)) + "="])()
+    before, after = r.choice([('"', '"'), ("'", "'"), ("", "")])
+    return name + r.choice([" = ", "=", ": ", ":", " is ", " := "]) + before, value, after
+
+
 def _other(r: random.Random) -> str:
     return r.choice([
-        lambda: "token = \"" + "".join(r.choice("0123456789abcdef") for _ in range(40)) + "\"", lambda: "Version " + f"{r.randint(0, 9)}.{r.randint(0, 20)}",
+        lambda: r.choice(["token ", "the key ", "a secret "]) + _word(r), lambda: "Version " + f"{r.randint(0, 9)}.{r.randint(0, 20)}",
         lambda: str(r.randint(1900, 2099)), lambda: f"{r.randint(1, 31)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}", lambda: f"{_number(r, r.randint(1, 7))}",
         lambda: f"${r.randint(1, 999)}.{_number(r, 2)}", lambda: f"{r.randint(0, 23)}:{_number(r, 2)}", lambda: "@" + _word(r), lambda: "CC BY-NC 4.0", lambda: f"{r.randint(1, 99)}%",
     ])()
@@ -135,11 +150,16 @@ def example(r: random.Random) -> tuple[str, list[Span]]:
     makers, text, spans = (_email, _ip, _card, _phone), "", []
     for _ in range(r.randint(2, 5)):
         text += " ".join(_word(r) for _ in range(r.randint(1, 6))) + r.choice([" ", " ", " ", ". ", ": ", ", ", "\n", " ("])
-        kind = r.randint(0, 5)
-        piece = makers[kind](r) if kind < 4 else _other(r)
-        if kind < 4:
+        kind = r.randint(0, 6)
+        after = ""
+        if kind == SECRET:
+            before, piece, after = _secret(r)
+            text += before
+        else:
+            piece = makers[kind](r) if kind < len(makers) else _other(r)
+        if kind <= SECRET:
             spans.append((len(text), kind, len(text) + len(piece)))
-        text += piece + r.choice([" ", " ", ". ", ", ", ") ", ".\n", "$$$ "])
+        text += piece + after + r.choice([" ", " ", ". ", ", ", ") ", ".\n", "$$$ "])
     return text, spans
 
 
@@ -147,7 +167,7 @@ def example(r: random.Random) -> tuple[str, list[Span]]:
 
 _CODES = {c: i + 2 for i, c in enumerate(" \n.,-+()@[]/:;=\"'_%$#&*!?0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")}
 SYMBOLS = len(_CODES) + 2  # 0 stands for what lies outside the text, 1 for any other character
-TAGS = 1 + 2 * len(KINDS)  # outside; first and further characters of each kind
+TAGS = 1 + 2 * len(TOLD)  # outside; first and further characters of each kind
 _TABLE = np.ones(128, np.int64)
 for _c, _i in _CODES.items():
     _TABLE[ord(_c)] = _i
@@ -381,7 +401,7 @@ def sound(text: str, span: Span) -> Span | None:
     s, k, e = span
     while s < e and not text[s].isalnum() and text[s] not in "+(":
         s += 1
-    while e > s and not text[e - 1].isalnum():
+    while e > s and not text[e - 1].isalnum() and not (k == SECRET and text[e - 1] == "="):
         e -= 1
     body = text[s:e]
     digits = _DIGITS.sub("", body)
@@ -391,6 +411,8 @@ def sound(text: str, span: Span) -> Span | None:
     elif k == 1:
         parts = re.findall(r"[0-9]+", body)
         ok = len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts) and re.fullmatch(r"[0-9]+(?:\s?[\[(]?\.[\])]?\s?[0-9]+){3}", body) is not None
+    elif k == SECRET:
+        ok = len(body) >= 16 and re.fullmatch(r"[A-Za-z0-9_+/.-]+=*", body) is not None and digits != "" and digits != body and len(set(body)) >= 8
     elif k == 2:
         ok = 14 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9][0-9 ./-]*", body) is not None
     else:
@@ -415,10 +437,11 @@ def all_spans(texts: list[str], p: dict[str, np.ndarray]) -> list[tuple[list[Spa
 
 
 def find_personal(docs: DataFrame, seed: int = 5) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for each document.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, secrets, n_found for each document.
 
-    Counts and base_sha256 are of the base spans; spans lists all, kind:start:end by start, then kind;
-    n_added is how many the model added. Null and empty texts have none. Offsets are code points, ends
+    Counts and base_sha256 are of the base spans; spans lists all of the four kinds, kind:start:end by start,
+    then kind; n_added is how many of them the model added, secrets lists the keys, tokens and passwords that it
+    found, n_found counts everything. Null and empty texts have none. Offsets are code points, ends
     exclusive. Equal texts give equal values; repeated rows each give a row. Other columns are not read.
     """
     tuned(docs.sparkSession)
@@ -430,6 +453,12 @@ def find_personal(docs: DataFrame, seed: int = 5) -> DataFrame:
             rows = all_spans(texts, p)
             counts = [pa.array([sum(k == i for _, k, _ in own) for own, _ in rows], pa.int64()) for i in range(4)]
             digests = pa.array([hashlib.sha256(as_text(own).encode()).hexdigest() for own, _ in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, digests, pa.array([as_text(s) for _, s in rows], pa.string()), pa.array([len(s) - len(own) for own, s in rows], pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+            secret = [[x for x in s if x[1] == SECRET] for _, s in rows]
+            told = [[x for x in s if x[1] != SECRET] for _, s in rows]
+            added = pa.array([len(s) - len(own) for s, (own, _) in zip(told, rows, strict=True)], pa.int64())
+            texts_of = lambda some: pa.array([as_text(x) for x in some], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, digests, texts_of(told), added, texts_of(secret), pa.array([len(s) for _, s in rows], pa.int64())], names)
+
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "secrets", "n_found"]
+    kinds = ", ".join(f"{n} {'string' if n in ('base_sha256', 'spans', 'secrets') else 'long'}" for n in names)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), kinds)
