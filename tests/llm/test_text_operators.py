@@ -472,6 +472,64 @@ def test_audio_with_tag_letters_in_the_text():
     assert tagged.offsets == mpeg_audio.read_audio(data).offsets and tagged.skipped == 0 and mpeg_audio.payload_of(data, tagged) == payload
 
 
+def crc_of_bits(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = ((crc << 1) & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ b else 0)
+    return crc
+
+
+def frame_of(second, third, fourth, bits, size):
+    """A protected frame whose checksum covers the header's last bytes and the given bits."""
+    word = bytes([0xFF, second, third, fourth])
+    flat = [b >> i & 1 for b in word[2:] for i in range(7, -1, -1)] + bits
+    padded = bits + [0] * (-len(bits) % 8)
+    body = bytes(int("".join(map(str, padded[j : j + 8])), 2) for j in range(0, len(padded), 8))
+    return (word + crc_of_bits(flat).to_bytes(2, "big") + body).ljust(size, b"\x55")
+
+
+@pytest.mark.parametrize("layer, mode, mode_ext, widths", [
+    (1, 3, 0, [(4, 1)] * 32),  # mono: one allocation a subband
+    (1, 0, 0, [(4, 2)] * 32),
+    (1, 1, 1, [(4, 2)] * 8 + [(4, 1)] * 24),  # joint: shared from subband 8 on
+    (2, 3, 0, [(4, 1)] * 11 + [(3, 1)] * 12 + [(2, 1)] * 4),
+    (2, 0, 0, [(4, 2)] * 11 + [(3, 2)] * 12 + [(2, 2)] * 4),
+    (2, 1, 0, [(4, 2)] * 4 + [(4, 1)] * 7 + [(3, 1)] * 12 + [(2, 1)] * 4),
+])
+def test_checksums_of_other_layers(layer, mode, mode_ext, widths):
+    r = random.Random(layer + mode)
+    third, fourth = 0xA0 | 1 << 2, mode << 6 | mode_ext << 4  # 48 kHz
+    size = mpeg_audio.header(bytes([0xFF, 0xF8 | (4 - layer) << 1, third, fourth])).size
+    data, scales = b"", 0
+    for _ in range(3):
+        bits = []
+        scales = 0
+        for width, n in widths:
+            for _ in range(n):
+                value = r.choice([0, r.randrange(1 << width)])
+                bits += [value >> i & 1 for i in range(width - 1, -1, -1)]
+                scales += bool(value) * (1 if n == 2 or mode == 3 else 2)
+        if layer == 2:
+            bits += [r.randrange(2) for _ in range(2 * scales)]
+        data += frame_of(0xF8 | (4 - layer) << 1, third, fourth, bits, size)
+    audio = mpeg_audio.read_audio(data)
+    assert (audio.crc_good, audio.crc_bad, len(audio.headers)) == (3, 0, 3)
+    hurt = bytearray(data)
+    hurt[size + 8] ^= 0x10
+    assert mpeg_audio.read_audio(bytes(hurt)).crc_bad == 1
+
+
+def test_free_format_and_resync():
+    one = bytes([0xFF, 0xFB, 1 << 2, 0xC0]) + bytes(700)
+    audio = mpeg_audio.read_audio(b"".join([one] * 5))
+    assert audio.offsets == [704 * i for i in range(5)] and audio.duration == 5 * mpeg_audio.Fraction(1152, 48000)
+    ours = mpeg_audio.write_audio(bytes(3000))
+    start = mpeg_audio.read_audio(ours).offsets
+    noise = bytes([0xFF, 0xFB, 0x90, 0xC0]) + bytes(60)  # a header of another rate in between
+    again = mpeg_audio.read_audio(ours[: start[1]] + noise + ours[start[1] :])
+    assert len(again.offsets) == len(start) and again.skipped == 64
+
+
 # --- personal data ----------------------------------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from fractions import Fraction
 from functools import lru_cache
 
@@ -50,10 +50,25 @@ class Header:
     protected: bool
     kbps: int
     rate: int
-    mono: bool
+    mode: int
+    extension: int
+    pad: int
     size: int
     samples: int
 
+    @property
+    def mono(self) -> bool:
+        return self.mode == 3
+
+    @property
+    def free(self) -> bool:
+        """Whether the bitrate is not said: all frames have the size that the first one shows."""
+        return self.kbps == 0
+
+    def like(self, other: Header) -> bool:
+        """Whether both can be headers of one stream."""
+        return (self.version, self.layer, self.rate, self.free) == (other.version, other.layer, other.rate, other.free)
+
     @property
     def side(self) -> int:
         """Bytes of side information of a Layer III frame."""
@@ -68,12 +83,12 @@ def header(word: bytes) -> Header | None:
     version = {0: 2.5, 2: 2, 3: 1}.get(word[1] >> 3 & 3)
     layer = 4 - (word[1] >> 1 & 3)
     rate_at, kbps_at = word[2] >> 2 & 3, word[2] >> 4
-    if version is None or layer == 4 or rate_at == 3 or kbps_at in (0, 15):
+    if version is None or layer == 4 or rate_at == 3 or kbps_at == 15:
         return None
     family = 1 if version == 1 else 2
     kbps, rate, samples, pad = BITRATES[family, layer][kbps_at], RATES[version][rate_at], SAMPLES[family, layer], word[2] >> 1 & 1
     size = (12000 * kbps // rate + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // rate + pad
-    return Header(version, layer, not word[1] & 1, kbps, rate, word[3] >> 6 == 3, size, samples)
+    return Header(version, layer, not word[1] & 1, kbps, rate, word[3] >> 6, word[3] >> 4 & 3, pad * (4 if layer == 1 else 1), 0 if kbps_at == 0 else size, samples)
 
 
 @lru_cache(maxsize=8192)
@@ -87,6 +102,44 @@ def checksum(data: bytes) -> int:
     return crc
 
 
+def _bits_of_allocation(h: Header) -> list[int]:
+    """Layer II: the width of a subband's allocation, for each subband that the header's bitrate and rate allow."""
+    if h.version != 1:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = h.kbps // (1 if h.mono else 2)
+    if each <= 48 and not h.free:
+        return [4] * 2 + [3] * (10 if h.rate == 32000 else 6)
+    few = h.rate == 48000 and not h.free or 56 <= each <= 80
+    return [4] * 11 + [3] * 12 + [2] * (4 if few else 7)
+
+
+def protected_bits(data: bytes, h: Header, at: int) -> int:
+    """How many bits after a frame's checksum it covers: side information of Layer III, allocations of the others."""
+    channels = 1 if h.mono else 2
+    if h.layer == 3:
+        return 8 * h.side
+    bound = 4 * (h.extension + 1) if h.mode == 1 else 32  # from here on both channels share an allocation
+    if h.layer == 1:
+        return 4 * (32 if h.mono else 32 + min(bound, 32))
+    body = data[at + 6 : at + 6 + 64]
+    bits, where, used = int.from_bytes(body, "big"), 0, 0
+    for band, width in enumerate(_bits_of_allocation(h)):
+        for _ in range(1 if band >= bound else channels):
+            value = bits >> max(0, 8 * len(body) - where - width) & (1 << width) - 1
+            where += width
+            used += bool(value) * (channels if band >= bound else 1)
+    return where + 2 * used  # and two bits of each subband that holds samples
+
+
+def _sum_of_bits(data: bytes, at: int, n: int) -> int:
+    """The checksum of a header's last two bytes and n bits after it."""
+    crc = checksum(data[at + 2 : at + 4] + data[at + 6 : at + 6 + n // 8])
+    for i in range(n % 8):
+        bit = data[at + 6 + n // 8] >> 7 - i & 1
+        crc = ((crc << 1) ^ (0x8005 if (crc >> 15 & 1) ^ bit else 0)) & 0xFFFF
+    return crc
+
+
 @dataclass
 class Audio:
     """What a reader finds in the bytes of an MPEG audio file."""
@@ -163,36 +216,55 @@ def _vbr_table(data: bytes, at: int, h: Header) -> dict[str, object]:
     return {}
 
 
+def _free_size(data: bytes, at: int, h: Header, end: int) -> int:
+    """The size of a free-format frame without padding: the next header of the same stream tells it. 0 if there is none."""
+    nxt = data.find(b"\xff", at + 24, end)
+    while 0 <= nxt <= at + 8192:
+        other = header(data[nxt : nxt + 4])
+        if other and h.like(other):
+            return nxt - at - h.pad
+        nxt = data.find(b"\xff", nxt + 1, end)
+    return 0
+
+
 def read_audio(data: bytes) -> Audio:
-    """Walks through the frames. After bytes that are no frame it goes on where two headers in a row agree.
+    """Walks through the frames. After bytes that are no frame it goes on where two headers of one stream follow each other.
 
-    An ID3v1 tag is one only where the frames end: the same letters inside a frame are its bytes.
+    Headers of one stream agree in version, layer and rate. The size of free-format frames is found once, from
+    two headers that agree. An ID3v1 tag is one only where the frames end: the same letters inside a frame are
+    its bytes. Checksums of all three layers are verified.
     """
     out = Audio()
     at = id3_end(data, out.tags)
     end = len(data)
     tag = end - 128 if data[-128:-125] == b"TAG" and end >= 128 else -1
-    synced, first = True, True
+    synced, first, free, last = True, True, 0, None
     while at + 4 <= end and not (synced and at == tag):
         h = header(data[at : at + 4])
+        if h and h.free:
+            free = free or _free_size(data, at, h, end)
+            h = replace(h, size=free + h.pad if free else 0)
         after = at + h.size if h else 0
         ok = h is not None and h.size > 4 and after <= end
-        if ok and not synced:
-            ok = after + 4 > end or header(data[after : after + 4]) is not None
+        if ok and last:
+            ok = h.like(last)
+        if ok and not (synced and last):
+            other = header(data[after : after + 4])
+            ok = after + 4 > end or after == tag or other is not None and h.like(other)
         if not ok:
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
             out.skipped += nxt - at
             at, synced = nxt, False
             continue
-        synced = True
+        synced, last = True, h
         if first and h.layer == 3 and (table := _vbr_table(data, at, h)):
             out.vbr, first = table, False
             at = after
             continue
         first = False
-        if h.protected and h.layer == 3:
-            good = int.from_bytes(data[at + 4 : at + 6], "big") == checksum(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side])
+        if h.protected:
+            good = int.from_bytes(data[at + 4 : at + 6], "big") == _sum_of_bits(data, at, protected_bits(data, h, at)) if after - at > 6 + 4 else False
             out.crc_good += good
             out.crc_bad += not good
         out.offsets.append(at)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voxframe.llm import bpe_chunks, decontaminate, html_text, jaccard_join, kneser_ney, line_dedup, mpeg_audio, pii, quotes, token_files
-from voxframe.llm.common import table, tuned
+from voxframe.llm.common import staged, table, tuned
 
 
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +31,9 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as an audio file, read back."""
-    files = mpeg_audio.to_audio(table(tuned(spark), sf_dir, "documents"))
-    return mpeg_audio.described(files).drop("seconds", "crc_bad", "frame_offsets")
+    """Every document as an audio file, stored in the shared folder and read back from there."""
+    files = staged(mpeg_audio.to_audio(table(tuned(spark), sf_dir, "documents")), "audio")
+    return mpeg_audio.described(files)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
