@@ -873,3 +873,21 @@ def test_lines_on_awkward_rows(spark):
     rows = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()}
     assert rows[7] == (4, 0, "line one is long enough\nline one is long enough\n\n") and rows[8] == (1, 1, "") and rows[4] == (1, 1, "") and rows[None] == (1, 0, "no id at all here") and rows[0] == (1, 0, "")
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_runs_are_reopened_by_a_later_job(spark, tmp_path):
+    """Three jobs over one folder drop what one job over all documents drops; a job lost on the way leaves the runs as they were."""
+    r = random.Random(9)
+    pool = [f"a line that repeats, number {i}" for i in range(60)]
+    texts = ["\n".join(r.choice(pool) for _ in range(r.randint(1, 6))) for _ in range(90)]
+    folder = f"file://{tmp_path}/runs"
+    docs, got = docs_of(spark, texts), {}
+    for lo in (0, 30, 60):
+        part = docs.where(f"doc_id >= {lo} AND doc_id < {lo + 30}")
+        got |= {x["doc_id"]: (x["n_lines"], x["n_dropped"], x["text"]) for x in line_dedup.dedup_lines(part, 2, 2, folder).collect()}
+    assert got == brute_lines(list(enumerate(texts)))
+    runs = line_dedup.LineRuns(spark, folder, 2)
+    known = runs.all().count()
+    assert known == len({x for t in texts for x in t.split("\n")}) and sum(map(len, runs.levels.values())) <= 3
+    runs._write(runs.all(), 0)  # a run that no manifest lists
+    assert line_dedup.LineRuns(spark, folder, 2).all().count() == known

@@ -19,10 +19,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import keep_ids, lean, slices, small_enough, staged, tuned, utf8
+from voxframe.llm.common import keep_ids, lean, mix, slices, small_enough, staged, tuned, utf8
 
 #: Bytes in an n-gram (at most 7). A language's documents are dealt to one in SHARDS of the shuffle's partitions.
-ORDER, SHARDS = 5, 8
+ORDER, SHARDS = 5, 4
 #: Bytes in a window over which the log-ratio of the toxic and the trusted model is summed.
 TOXIC_WINDOW = 16
 #: Of trusted documents one in HELD_OUT sets thresholds and is not trained on, so thresholds carry no memory of the text.
@@ -199,7 +199,8 @@ def _documents(docs: DataFrame, copies: int) -> DataFrame:
                 own = b.filter(pc.equal(b.column(1), lang))
                 raw, offsets = utf8(own.column(2))
                 ids = own.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-                out.append((lang, int(ids[0]) % copies, _pack(ids, np.diff(offsets).astype("<i8"), raw)))
+                salt = int(mix(ids[:1].astype(np.uint64) + np.uint64(len(raw)))[0] % np.uint64(copies))
+                out.append((lang, salt, _pack(ids, np.diff(offsets).astype("<i8"), raw)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["lang", "salt", "docs"])
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string"))

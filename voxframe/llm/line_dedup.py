@@ -8,6 +8,7 @@ is rewritten once a level and a batch meets few runs.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,17 +60,43 @@ def line_hashes(docs: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """The runs so far, in a shared folder: level -> paths of sorted tables (h1, h2, owner), keys distinct over all."""
+    """The runs so far, in a shared folder: level -> paths of sorted tables (h1, h2, owner), keys distinct over all.
+
+    A manifest in the folder names the runs; a later job that opens the same folder goes on from the last
+    one. A run is listed only once it is written, and deleted only when no manifest lists it any more, so a
+    job that is lost on the way leaves the runs as they were.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT) -> None:
-        self.spark, self.folder, self.fanout = spark, folder, fanout
+        self.spark, self.folder, self.fanout = spark, folder.rstrip("/"), fanout
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.levels: dict[int, list[str]] = {}
-        self.written = 0
+        self.written, self.version = 0, 0
+        if self._fs.exists(self._path(self.folder)):
+            names = [str(f.getPath().getName()) for f in self._fs.listStatus(self._path(self.folder))]
+            known = sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
+            if known:
+                told = json.loads(spark.read.text(f"{self.folder}/manifest-{known[-1]}.json", wholetext=True).first()[0])
+                self.version, self.written = known[-1], told["written"]
+                self.levels = {int(k): v for k, v in told["levels"].items()}
+
+    def _tell(self) -> None:
+        """Writes the next manifest, whole or not at all, and deletes the one before the last."""
+        told = json.dumps({"written": self.written, "levels": self.levels}).encode()
+        self.version += 1
+        part, whole = self._path(f"{self.folder}/.manifest-{self.version}"), self._path(f"{self.folder}/manifest-{self.version}.json")
+        out = self._fs.create(part, True)
+        out.write(bytearray(told))
+        out.close()
+        self._fs.rename(part, whole)
+        self._fs.delete(self._path(f"{self.folder}/manifest-{self.version - 2}.json"), True)
 
     def _write(self, rows: DataFrame, level: int) -> None:
         path = f"{self.folder}/level={level}/run={self.written}"
         self.written += 1
-        rows.sortWithinPartitions("h1", "h2").write.parquet(path)
+        rows.sortWithinPartitions("h1", "h2").write.mode("overwrite").parquet(path)
         self.levels.setdefault(level, []).append(path)
 
     def _read(self, paths: list[str]) -> DataFrame:
@@ -83,43 +110,45 @@ class LineRuns:
     def add(self, lines: DataFrame) -> None:
         """Merge-anti-joins a batch's lines with the runs and adds a run of the keys that it brings first."""
         own = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"))
-        if self.written:
+        if self.levels:
             own = own.join(self.all().hint("merge"), ["h1", "h2"], "left_anti")
         self._write(own, 0)
-        level = 0
+        level, old = 0, []
         while len(self.levels.get(level, [])) >= self.fanout:
-            old = self.levels.pop(level)
-            self._write(self._read(old).repartition("h1", "h2"), level + 1)
-            jvm = self.spark.sparkContext._jvm
-            for p in old:
-                path = jvm.org.apache.hadoop.fs.Path(p)
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            merged = self.levels.pop(level)
+            self._write(self._read(merged).repartition("h1", "h2"), level + 1)
+            old += merged
             level += 1
+        self._tell()
+        for p in old:
+            self._fs.delete(self._path(p), True)
+
+    def lost(self, lines: DataFrame) -> DataFrame:
+        """(doc_id, keys): for each document that loses lines, the 16-byte hashes of the keys that a smaller doc_id owns, joined."""
+        lost = lines.join(self.all().hint("merge"), ["h1", "h2"]).where("owner < doc_id")
+        bits = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))  # noqa: E731  8 bytes, big end first
+        return lost.select("doc_id", F.concat(bits("h1"), bits("h2")).alias("key")).groupBy("doc_id").agg(F.array_join(F.transform(F.collect_list("key"), F.hex), "").alias("keys"))
 
 
-def dropped_keys(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def dropped_keys(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, folder: str | None = None) -> DataFrame:
     """(doc_id, keys): for each document that loses lines, the 16-byte hashes of the keys it loses, joined.
 
     A document loses a key that a smaller doc_id holds. Batches follow doc_id, so a key's owner is settled
-    by the batch that brings it first.
+    by the batch that brings it first. Texts are read once: the hashes of each batch are written apart.
+    With a folder, runs of earlier jobs that it holds count too, and this job's runs stay there; doc_ids are
+    then taken to grow from job to job.
     """
     spark = docs.sparkSession
-    folder = scratch(spark, "line-runs")
+    work = scratch(spark, "line-runs")
     edges = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    edges = [None, *sorted({int(e) for e in edges}), None]
-    runs, lines_at = LineRuns(spark, f"{folder}/runs", fanout), []
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        part = docs
-        part = part.where(F.col("doc_id") > lo) if lo is not None else part
-        part = part.where(F.col("doc_id") <= hi) if hi is not None else part
-        path = f"{folder}/lines={len(lines_at)}"
-        line_hashes(part).write.parquet(path)
-        lines_at.append(path)
-        runs.add(spark.read.schema("h1 long, h2 long, doc_id long").parquet(path))
-    lines = spark.read.schema("h1 long, h2 long, doc_id long").parquet(*lines_at)
-    lost = lines.join(runs.all().hint("merge"), ["h1", "h2"]).where("owner < doc_id")
-    bits = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))  # noqa: E731  8 bytes, big end first
-    return lost.select("doc_id", F.concat(bits("h1"), bits("h2")).alias("key")).groupBy("doc_id").agg(F.array_join(F.transform(F.collect_list("key"), F.hex), "").alias("keys"))
+    edges = sorted({int(e) for e in edges})
+    batch = sum((F.when(F.col("doc_id") > e, 1).otherwise(0) for e in edges), F.lit(0))
+    line_hashes(docs).withColumn("batch", batch).write.partitionBy("batch").parquet(f"{work}/lines")
+    lines = spark.read.schema("h1 long, h2 long, doc_id long, batch int").parquet(f"{work}/lines")
+    runs = LineRuns(spark, folder or f"{work}/runs", fanout)
+    for i in range(len(edges) + 1):
+        runs.add(lines.where(F.col("batch") == i))
+    return runs.lost(lines)
 
 
 def split_kept(text: bytes, lost: set[bytes]) -> tuple[list[bytes], int]:
@@ -135,18 +164,18 @@ def split_kept(text: bytes, lost: set[bytes]) -> tuple[list[bytes], int]:
     return kept, len(lines)
 
 
-def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, folder: str | None = None) -> DataFrame:
     """docs with `text` of the lines that stay (empty if none), `n_lines` before and `n_dropped`.
 
     Lines end at \\n; null or empty text is one empty line. A line's key is the line with ASCII white space
     stripped at both ends and A-Z lowered. Keys of at least LEAST_CHARS code points lose all their lines
     but in the smallest doc_id that holds them; repeats inside that document stay. Rows with a null doc_id
     keep all their lines and own none; rows that share a doc_id count as one document. Columns named
-    n_lines, n_dropped or keys are replaced; others stay.
+    n_lines, n_dropped or keys are replaced; others stay. folder: see dropped_keys.
     """
     spark = tuned(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped", "keys")
-    lost = dropped_keys(docs, batches, fanout)
+    lost = dropped_keys(docs, batches, fanout, folder)
     names = docs.columns
     schema = docs.schema.simpleString()[7:-1]
     at = names.index("text")
