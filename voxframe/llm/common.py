@@ -40,10 +40,13 @@ def tuned(spark: SparkSession, batch_bytes: int = BYTES_PER_BATCH) -> SparkSessi
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 
-    Where that setting is unset (tests, a single machine) a folder of this machine is set and used.
+    Where that setting is unset, a folder of this machine is set and used if the session runs on this machine
+    alone; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="voxframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     folder = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -70,6 +73,15 @@ def removed(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads, by Spark's own statistics; 0 where it reads none."""
+    leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
+    for i in range(leaves.size()):
+        size = int(str(leaves.apply(i).stats().sizeInBytes()))
+        total += size if size < 1 << 60 else 0  # the default of rows that are in no file
+    return total
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most `rows` rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows

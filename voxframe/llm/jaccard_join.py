@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import keep_ids, lean, mix, random_words, slices, small_enough, staged, tuned, utf8
+from voxframe.llm.common import keep_ids, lean, mix, random_words, slices, small_enough, staged, stored_bytes, tuned, utf8
 from voxframe.llm.components import components
 
 #: Words in a shingle, and the similarity of a link in hundredths.
@@ -31,6 +31,8 @@ MOST_SHINGLES = 2_000_000
 FANOUT = 8
 #: Bits of a shingle's hash that are counted; chance equals only let a document through to the next step.
 COUNTED_BITS = 48
+#: Bytes of the documents' files for each part that shingles are dealt to, so that parts do not grow with the input.
+PART_BYTES = 8_000_000
 #: Texts of a slice whose shingles are counted together before they are sent, in bytes.
 COUNTED_BYTES = 4_000_000
 
@@ -381,7 +383,7 @@ def join_similar(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, mos
     """
     spark = tuned(docs.sparkSession)
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = 2 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), stored_bytes(docs) // PART_BYTES)
     facts = staged(_counted(docs, parts, size), "facts")
     same = staged(facts.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("shared").alias("shared")), "same")
     reps = same.where(100 * F.col("shared") >= percent * F.col("n")).select(F.col("rep").alias("doc_id"))
