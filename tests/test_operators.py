@@ -137,3 +137,93 @@ def test_chunks_of_the_whole_volume_are_registered(spark):
 
     got = QUERIES["register_chunks"](spark, "/root/testdata/sf0.01").collect()
     assert sorted(r["chunk_id"] for r in got) == list(range(8))
+
+
+def volume_array(spark, sf, scale=1.0):
+    from voxframe.sources import tables
+
+    shape = tables.shape(spark, sf)
+    return dense(tables.volume(spark, sf), shape, "v")[0] / scale, shape
+
+
+def test_self_similarity_equals_arrays(spark):
+    from voxframe.engines.features import SelfSimilarity
+    from voxframe.plans.queries import CORE, HALO, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    a, shape = volume_array(spark, sf)
+    got = {(r["chunk_id"], r["channel"]): r["mean"] for r in QUERIES["self_similarity"](spark, sf).collect()}
+    for i, at in enumerate(np.ndindex(*[-(-n // CORE) for n in shape])):
+        box = a[tuple(slice(max(0, k * CORE - HALO), min(n, (k + 1) * CORE + HALO)) for k, n in zip(at, shape, strict=True))]
+        for c, m in enumerate(SelfSimilarity()(box).mean((1, 2, 3))):
+            assert got[i, c] == pytest.approx(m, abs=2e-6)
+    assert len(got) == 12 * (i + 1)
+
+
+def test_registered_chunks_equal_the_solver_on_arrays(spark):
+    from voxframe.engines.demons import Stage
+    from voxframe.plans import config, groupwise
+    from voxframe.plans.queries import QUERIES
+    from voxframe.sources.tables import SPACING
+
+    sf = "/root/testdata/sf0.001"
+    a, shape = volume_array(spark, sf, 300000)
+    b = a[:, np.clip(np.arange(shape[1]) + 1, 0, shape[1] - 1)]
+    run = config.load({"tiling": {"core": 16, "halo": 8}, "solver": {"stages": [{"scales": [1], "iterations": [4]}]}})
+    got = {r["chunk_id"]: r for r in QUERIES["register_chunks"](spark, sf).collect()}
+    for i, at in enumerate(np.ndindex(*[-(-n // 16) for n in shape])):
+        low = [max(0, k * 16 - 8) for k in at]
+        box = tuple(slice(o, min(n, (k + 1) * 16 + 8)) for o, k, n in zip(low, at, shape, strict=True))
+        core = tuple(slice(k * 16 - o, min(n, (k + 1) * 16) - o) for o, k, n in zip(low, at, shape, strict=True))
+        seed = np.zeros((3, *a[box].shape))
+        _, record = groupwise.solve_chunk(a[box], b[box], seed, core, run, SPACING, run.clamp_voxels() * SPACING, (Stage(scales=(1,), iterations=(4,)),), 0, 0)
+        r = got[i]
+        assert (r["reason"], r["retries"]) == (record["reason"], record["retries"])
+        assert r["tissue_fraction"] == pytest.approx(record["tissue_fraction"], abs=1e-6) and r["folds"] == pytest.approx(record["folds"], abs=1e-6)
+    assert len(got) == i + 1
+
+
+def test_exact_quantiles_equal_numpy(spark):
+    g = np.random.default_rng(4)
+    data = {0: g.lognormal(0, 2, 700), 1: np.full(9, 3.5), 2: np.round(g.normal(size=401), 1), 3: np.array([7.0])}
+    df = spark.createDataFrame(pd.DataFrame({"k": np.concatenate([np.full(len(v), k) for k, v in data.items()]), "v": np.concatenate(list(data.values()))}))
+    for cells in (1, 5, 4096):
+        got = {r["k"]: r["p"] for r in stats.exact_quantiles(df, "v", (0.0, 0.005, 0.5, 0.99, 1.0), ("k",), cells).collect()}
+        for k, v in data.items():
+            assert np.allclose(got[k], np.quantile(v, (0.0, 0.005, 0.5, 0.99, 1.0)))
+    assert np.allclose(stats.exact_quantiles(df, "v", (0.25,)).first()[0], np.quantile(np.concatenate(list(data.values())), 0.25))
+    assert stats.exact_quantiles(df.limit(0), "v", (0.5,)).count() == 0
+
+
+def test_sampling_over_several_blocks(spark):
+    """Blocks of 4 voxels, places beyond the ends, fading and clamped."""
+    from pyspark.sql import functions as F
+
+    from voxframe.operators import blocks
+
+    g = np.random.default_rng(5)
+    a, shape = g.random((9, 11, 6)), (9, 11, 6)
+    p = g.uniform(-2, 12, (3, 300))
+    places = spark.createDataFrame(pd.DataFrame({"i": np.arange(300), "cz": p[0], "cy": p[1], "cx": p[2], "v": "text"}))
+    for boundary in ("constant", "nearest", "fade"):
+        inside = F.lit(True)
+        q = p
+        if boundary == "constant":
+            for c, n in zip(("cz", "cy", "cx"), shape, strict=True):
+                inside = inside & (F.col(c) >= 0) & (F.col(c) <= n - 1)
+        if boundary == "nearest":
+            q = np.clip(p, 0, np.array(shape)[:, None] - 1)
+        here = places.withColumns({c: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(n - 1.0)) for c, n in zip(("cz", "cy", "cx"), shape, strict=True)}) if boundary == "nearest" else places
+        got = {r["i"]: r["v"] for r in blocks.interpolated(here, rows(spark, v=a), shape, ("v",), ("cz", "cy", "cx"), inside, -5.0, (), 4).collect()}
+        wide = np.pad(a, 4)
+        want = A.sample(a, p, "constant", -5.0) if boundary == "constant" else A.sample(wide, np.clip(q, -3, 14) + 4, "nearest")
+        assert np.allclose([got[i] for i in range(300)], want)
+
+
+def test_rank_filters_over_several_blocks(spark, image):
+    from voxframe.operators import blocks
+
+    for size in (2, 3, 32):
+        got = blocks.ranked(rows(spark, v=image), 3, SHAPE, "v", (), None, size)
+        wide = np.lib.stride_tricks.sliding_window_view(np.pad(image, 1, mode="symmetric"), (3, 3, 3)).reshape(*SHAPE, 27)
+        assert np.allclose(dense(got, SHAPE, "v")[0], np.median(wide, -1))

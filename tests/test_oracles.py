@@ -1,19 +1,18 @@
-"""Every volume query against its SQL, on the smallest tables."""
+"""Every volume query against its SQL, on the smallest tables and on those of the driver's check."""
 
 import pytest
 
 from tests.compare import duck_rows, spark_rows
 from voxframe.plans import queries
 
-SF = "/root/testdata/sf0.001"
-
-
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 @pytest.mark.parametrize("name", list(queries.QUERIES))
-def test_query_equals_sql(spark, name):
-    got = spark_rows(queries.QUERIES[name](spark, SF))
+def test_query_equals_sql(spark, name, sf):
+    sf = f"/root/testdata/{sf}"
+    got = spark_rows(queries.QUERIES[name](spark, sf))
     assert got[1] or name == "pending_anti"
     if name in queries.ORACLES:
-        assert got == duck_rows(queries.ORACLES[name], SF)
+        assert got == duck_rows(queries.ORACLES[name], sf)
 
 
 def test_entry(spark):

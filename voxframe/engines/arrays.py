@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from voxframe.operators.stats import FLOOR, SHARE
 from voxframe.operators.stencil import gaussian_kernel
 
 
@@ -115,5 +116,5 @@ def local_normalise(a: np.ndarray, radius: int) -> np.ndarray:
 
 
 def tissue_fraction(a: np.ndarray, threshold: float = 0.0) -> float:
-    limit = threshold if threshold > 0 else max(0.02, 0.05 * float(a.max(initial=0)))
+    limit = threshold if threshold > 0 else max(FLOOR, SHARE * float(a.max(initial=0)))
     return float((a > limit).mean()) if a.size else 0.0

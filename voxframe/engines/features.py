@@ -34,6 +34,10 @@ class Extractor:
         return low - self.reach, size + 2 * self.reach
 
 
+#: The local variance counts as no less and no more than the patch's mean one divided, or multiplied, by this.
+SPREAD_RANGE = 1000.0
+
+
 class SelfSimilarity(Extractor):
     """Twelve channels: how unlike the patches around pairs of neighbours are, relative to the local variance."""
 
@@ -54,7 +58,8 @@ class SelfSimilarity(Extractor):
         pairs = [(p, q) for p, q in itertools.combinations(around, 2) if p[0] != q[0]]
         distance = np.stack([A.separable((around[p] - around[q]) ** 2, box) for p, q in pairs])
         spread = distance.mean(0)
-        spread = np.maximum(spread, 1e-6 * max(float(np.percentile(spread, 99.9)), 1e-6))
+        usual = max(float(spread.mean()), 1e-12)
+        spread = np.clip(spread, usual / SPREAD_RANGE, usual * SPREAD_RANGE)
         out = np.exp(-distance / spread)
         return normalise_channels(out / np.maximum(out.max(0, keepdims=True), 1e-8), self.method)
 

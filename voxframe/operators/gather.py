@@ -1,7 +1,7 @@
-"""Sampling volumes at fractional places: the join behind warps, compositions and resampling.
+"""Sampling volumes at fractional places: warps, compositions and resampling.
 
-A place looks at up to eight voxels. Each place is repeated for the corners whose weight is not 0, joined with the
-volume on the voxel key, and the weighted values are added up: one equi-join for all value columns.
+A place meets the block of voxels around it (operators.blocks); values are interpolated there on arrays, all columns
+at once, and places come back with what they carried.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.functions.scalar import AXES, VECTOR
+from voxframe.operators.blocks import interpolated, snapped
 from voxframe.operators.tiling import Grid
 
 PLACES = ("cz", "cy", "cx")
@@ -22,31 +23,15 @@ def sample(places: DataFrame, volume: DataFrame, shape: tuple[int, int, int], va
     takes 0 for voxels beyond, so that a place less than a voxel outside keeps part of the value. Voxels
     without a row count as 0. Columns of places must identify its rows; keys are in both.
     """
-    names = places.columns
-    at = places
-    inside = F.lit(True)
+    at, inside = places.columns, F.lit(True)
+    moved = places.withColumns({"_" + p: snapped(F.col(p)) for p in PLACES})
     for p, n in zip(PLACES, shape, strict=True):
         if boundary == "nearest":
-            at = at.withColumn("_" + p, F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(n - 1.0)))
-        else:
-            at = at.withColumn("_" + p, F.col(p))
-            if boundary == "constant":
-                inside = inside & (F.col(p) >= 0) & (F.col(p) <= n - 1)
-    at = at.withColumn("_in", inside)
-    corners = at.where("_in") if boundary == "constant" else at
-    for p, a, n in zip(PLACES, AXES, shape, strict=True):
-        low = F.floor("_" + p).cast("int")
-        part = F.col("_" + p) - F.floor("_" + p)
-        size = F.lit(n)
-        both = F.filter(F.array(F.struct(low.alias("i"), (1.0 - part).alias("w")), F.struct((low + 1).alias("i"), part.alias("w"))), lambda s: (s["w"] > 0) & (s["i"] >= 0) & (s["i"] < size))  # noqa: B023
-        corners = corners.withColumn("_" + a, F.explode(both))
-    corners = corners.select(*names, *[F.col(f"_{a}.i").alias("_k" + a) for a in AXES], (F.col("_z.w") * F.col("_y.w") * F.col("_x.w")).alias("_w"))
-    keyed = volume.select(*[F.col(k).alias("_v" + k) for k in keys], *[F.col(a).alias("_k" + a) for a in AXES], *[F.col(v).alias("_o" + v) for v in values])
-    on = [F.col(k) == F.col("_v" + k) for k in keys] + [corners["_k" + a] == keyed["_k" + a] for a in AXES]
-    met = corners.join(keyed, on).groupBy(*names).agg(*[F.sum(F.col("_w") * F.col("_o" + v)).alias("_s" + v) for v in values])
-    renamed = met.select(*[F.col(n).alias("_p" + n) for n in names], *["_s" + v for v in values])
-    back = at.join(renamed, [F.col(n).eqNullSafe(F.col("_p" + n)) for n in names], "left")
-    return back.select(*names, *[F.when(F.col("_in"), F.coalesce(F.col("_s" + v), F.lit(0.0))).otherwise(F.lit(float(cval))).alias(v) for v in values])
+            moved = moved.withColumn("_" + p, F.least(F.greatest(F.col("_" + p), F.lit(0.0)), F.lit(n - 1.0)))
+        elif boundary == "constant":
+            inside = inside & (F.col("_" + p) >= 0) & (F.col("_" + p) <= n - 1)
+    got = interpolated(moved, volume, shape, values, tuple("_" + p for p in PLACES), inside, float(cval), keys)
+    return got.select(*[c for c in at if c not in values], *values)
 
 
 def displaced(field: DataFrame, spacing: float, vector: tuple[str, ...] = VECTOR) -> DataFrame:

@@ -1,17 +1,20 @@
 """Neighbourhood operators: separable taps, medians, differences.
 
-Taps scatter: each voxel sends its weighted value to the voxels that read it, and one group-by for each axis adds
+Linear taps scatter: each voxel sends its weighted value to the voxels that read it, and one group-by for each axis adds
 up. No join is needed, and partial sums are made before the shuffle. A voxel at an end also stands for those beyond.
+Rank filters work on blocks (operators.blocks).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions.scalar import AXES, VECTOR
+from voxframe.operators.blocks import ranked
 
 
 def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -79,24 +82,16 @@ def decimate(voxels: DataFrame, factor: int, shape: tuple[int, int, int], values
     return soft.where(there[0] & there[1] & there[2]).select(*keys, *[(F.col(a) / factor).cast("int").alias(a) for a in AXES], *values)
 
 
-def _mirrored(axis: str, size: int, offsets: range) -> Column:
-    """The voxels along an axis that read this one through these offsets, ends mirrored (the end voxel twice)."""
-    z, targets = F.col(axis), []
-    for k in offsets:
-        plain = z - k
-        targets.append(F.when((plain >= 0) & (plain < size), plain))
-        targets.append(F.when((-1 - z - k >= 0) & (-1 - z - k < size), -1 - z - k))  # read as index -1 - z
-        targets.append(F.when((2 * size - 1 - z - k >= 0) & (2 * size - 1 - z - k < size), 2 * size - 1 - z - k))
-    return F.filter(F.array(*targets), lambda t: t.isNotNull())
-
-
 def median(voxels: DataFrame, window: int, shape: tuple[int, int, int], value: str = "v", keys: tuple[str, ...] = ()) -> DataFrame:
     """The median over cubes of `window` voxels, ends mirrored; the upper one of an even number. Needs size >= window."""
-    offsets = range(-(window // 2), window - window // 2)
-    sent = voxels.select(*keys, *[F.explode(_mirrored("z", shape[0], offsets)).alias("_z")], "y", "x", value)
-    sent = sent.withColumn("_y", F.explode(_mirrored("y", shape[1], offsets))).withColumn("_x", F.explode(_mirrored("x", shape[2], offsets)))
-    out = sent.groupBy(*keys, F.col("_z").alias("z"), F.col("_y").alias("y"), F.col("_x").alias("x"))
-    return out.agg(F.element_at(F.array_sort(F.collect_list(value)), window**3 // 2 + 1).alias(value))
+    return ranked(voxels, window, shape, value, keys)
+
+
+def median_ball(voxels: DataFrame, shape: tuple[int, int, int], value: str = "v", keys: tuple[str, ...] = (), square: int = 2) -> DataFrame:
+    """The median over the voxels no farther than the root of `square` (19 of them for 2), ends mirrored."""
+    r = math.isqrt(square)
+    d = np.indices((2 * r + 1,) * 3) - r
+    return ranked(voxels, 2 * r + 1, shape, value, keys, (d * d).sum(0) <= square)
 
 
 def gradient(voxels: DataFrame, axis: str, spacing: float, values: tuple[str, ...], keys: tuple[str, ...] = (), prefix: str = "d") -> DataFrame:

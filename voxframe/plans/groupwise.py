@@ -29,9 +29,11 @@ from voxframe.session import ship
 
 
 def shared(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir; one of this machine only where that is unset."""
+    """A new folder below spark.checkpoint.dir; one of this machine only where that is unset and nothing runs elsewhere."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="voxframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -45,8 +45,9 @@ CHUNKS = f"""chunks AS (
 
 def _gather_sql(places: str, volume: str, ids: str, values: tuple[str, ...], boundary: str, cval: float = 0.0, on: str = "", dims: str = "dims", hide: str = "") -> str:
     """Interpolated values at places (ids, cz, cy, cx) as a SELECT."""
-    inside = "TRUE" if boundary != "constant" else " AND ".join(f"c{a} >= 0 AND c{a} <= n{a} - 1" for a in AXES)
-    clamp = (lambda a: f"least(greatest(c{a}, 0), n{a} - 1)") if boundary == "nearest" else (lambda a: f"c{a}")
+    snap = lambda a: f"(round_even(CAST(c{a} AS DOUBLE) * 1099511627776, 0) / 1099511627776)"  # noqa: E731  bounds do not depend on the order of sums
+    inside = "TRUE" if boundary != "constant" else " AND ".join(f"{snap(a)} >= 0 AND {snap(a)} <= n{a} - 1" for a in AXES)
+    clamp = (lambda a: f"least(greatest({snap(a)}, 0), n{a} - 1)") if boundary == "nearest" else snap
     cols = ", ".join(f"p.{i}" for i in ids.split(", "))
     return f"""
       SELECT {cols}, {", ".join(f"CASE WHEN any_value(p.ok) THEN coalesce(sum(w * b.{v}), 0) ELSE {cval} END AS {hide}{v}" for v in values)}
@@ -261,8 +262,9 @@ def exact_percentile(spark: SparkSession, sf: str) -> DataFrame:
     """Exact percentile of the displacement's length, and the margin that a warp must read."""
     size = S.magnitude(*VECTOR)
     margin = (F.ceil(F.max(F.greatest(*[F.abs(F.col(u)) for u in VECTOR])) / SPACING) + 2).cast("int")
-    out = T.fields(spark, sf).groupBy("subject").agg(F.percentile(size, F.lit(0.99)).alias("p99"), F.max(size).alias("most"), margin.alias("margin"))
-    return rounded(out, "p99", "most")
+    f = T.fields(spark, sf)
+    p = stats.exact_quantiles(f, size, (0.99,), ("subject",)).select("subject", F.col("p")[0].alias("p99"))
+    return rounded(p.join(f.groupBy("subject").agg(F.max(size).alias("most"), margin.alias("margin")), "subject"), "p99", "most")
 
 
 @query(f"""WITH {VOL}, {CHUNKS}, e AS (SELECT c.chunk_id, v FROM chunks c JOIN vol v ON {_INSIDE}), t AS (SELECT chunk_id, greatest(0.02, 0.05 * max(v)) AS t FROM e GROUP BY 1)
@@ -382,24 +384,24 @@ def read_dense(spark: SparkSession, sf: str) -> DataFrame:
 _MATRIX = [[0.9, 0.1, 0.0, 1.5], [-0.1, 0.9, 0.0, 2.25], [0.0, 0.05, 1.1, -1.0]]
 
 
-@query(f"""WITH {VOL}, p AS (SELECT z, y, x, CAST(0.9 AS DOUBLE) * z + CAST(0.1 AS DOUBLE) * y + 1.5 AS cz, CAST(-0.1 AS DOUBLE) * z + CAST(0.9 AS DOUBLE) * y + 2.25 AS cy, CAST(0.05 AS DOUBLE) * y + CAST(1.1 AS DOUBLE) * x - 1.0 AS cx FROM vol WHERE z < 3)
+@query(f"""WITH {VOL}, p AS (SELECT z, y, x, CAST(0.9 AS DOUBLE) * z + CAST(0.1 AS DOUBLE) * y + 1.5 AS cz, CAST(-0.1 AS DOUBLE) * z + CAST(0.9 AS DOUBLE) * y + 2.25 AS cy, CAST(0.05 AS DOUBLE) * y + CAST(1.1 AS DOUBLE) * x - 1.0 AS cx FROM vol)
 SELECT z, y, x, round(v, 1) AS v FROM ({_gather_sql('p', 'vol', 'z, y, x', ('v',), 'constant', 250.0)})""")
 def affine_view(spark: SparkSession, sf: str) -> DataFrame:
-    """Three planes of a view through an affine matrix; background outside."""
+    """A view of the volume through an affine matrix; background outside."""
     shape = T.shape(spark, sf)
-    return rounded(gather.affine(T.volume(spark, sf), shape, _MATRIX, (min(3, shape[0]), *shape[1:]), 250.0), "v", digits=1)
+    return rounded(gather.affine(T.volume(spark, sf), shape, _MATRIX, shape, 250.0), "v", digits=1)
 
 
 @query(f"""WITH {VOL}, {_kernel_sql(0.25)}, pooled AS (SELECT CAST(floor(z / 2.0) AS INT) AS z, CAST(floor(y / 2.0) AS INT) AS y, CAST(floor(x / 2.0) AS INT) AS x, avg(v) AS v FROM vol GROUP BY ALL),
 dims2 AS (SELECT CAST(ceil(nz / 2.0) AS INT) AS nz, 10 AS ny, 13 AS nx FROM dims), {_filter_sql('soft', 'pooled').replace('CROSS JOIN dims ', 'CROSS JOIN dims2 ')},
-p AS (SELECT CAST(a.i AS INT) AS z, CAST(b.i AS INT) AS y, CAST(c.i AS INT) AS x, (3 * a.i - 1.5) / 2 AS cz, (3 * b.i - 1.5) / 2 AS cy, (3 * c.i - 1.5) / 2 AS cx FROM (SELECT unnest(range(6)) AS i) a, (SELECT unnest(range(8)) AS i) b, (SELECT unnest(range(9)) AS i) c)
+p AS (SELECT CAST(a.i AS INT) AS z, CAST(b.i AS INT) AS y, CAST(c.i AS INT) AS x, (3 * a.i - 1.5) / 2 AS cz, (3 * b.i - 1.5) / 2 AS cy, (3 * c.i - 1.5) / 2 AS cx FROM (SELECT unnest(range(CAST(ceil((SELECT nz FROM dims) / 3.0) AS BIGINT) + 2)) AS i) a, (SELECT unnest(range(9)) AS i) b, (SELECT unnest(range(11)) AS i) c)
 SELECT z, y, x, round(v, 4) AS v FROM ({_gather_sql('p', 'soft', 'z, y, x', ('v',), 'fade', dims='dims2')})""")
 def resampled_source(spark: SparkSession, sf: str) -> DataFrame:
     """A scan read on a run grid three times as coarse that reaches beyond it: pool by 2, blur, interpolate, fade to 0."""
     from voxframe.plans.rungrid import resampled
 
     shape = T.shape(spark, sf)
-    places = gather.dense(spark, (6, 8, 9)).withColumns({"cz": 3 * F.col("z") - 1.0, "cy": 3 * F.col("y") - 1.0, "cx": 3 * F.col("x") - 1.0})
+    places = gather.dense(spark, tuple(-(-n // 3) + 2 for n in shape)).withColumns({"cz": 3 * F.col("z") - 1.0, "cy": 3 * F.col("y") - 1.0, "cx": 3 * F.col("x") - 1.0})
     return rounded(resampled(T.volume(spark, sf), shape, places, 2, 0.25), "v", digits=4)
 
 
@@ -476,6 +478,14 @@ def median3(spark: SparkSession, sf: str) -> DataFrame:
     return stencil.median(T.volume(spark, sf), 3, T.shape(spark, sf))
 
 
+@query(f"""WITH {VOL}, o AS (SELECT unnest(range(-1, 2)) AS d), n AS (SELECT a.z, a.y, a.x, b.v FROM vol a, dims, o i, o j, o k, vol b WHERE i.d * i.d + j.d * j.d + k.d * k.d <= 2 AND
+b.z = CASE WHEN a.z + i.d < 0 THEN -1 - a.z - i.d WHEN a.z + i.d >= nz THEN 2 * nz - 1 - a.z - i.d ELSE a.z + i.d END AND b.y = CASE WHEN a.y + j.d < 0 THEN -1 - a.y - j.d WHEN a.y + j.d >= ny THEN 2 * ny - 1 - a.y - j.d ELSE a.y + j.d END
+AND b.x = CASE WHEN a.x + k.d < 0 THEN -1 - a.x - k.d WHEN a.x + k.d >= nx THEN 2 * nx - 1 - a.x - k.d ELSE a.x + k.d END) SELECT z, y, x, list_sort(list(v))[10] AS v FROM n GROUP BY z, y, x""")
+def median_ball(spark: SparkSession, sf: str) -> DataFrame:
+    """The median over a voxel and its 18 nearest neighbours."""
+    return stencil.median_ball(T.volume(spark, sf), T.shape(spark, sf))
+
+
 @query(f"WITH {VOL} SELECT a.z, a.y, a.x, b.v FROM vol a, dims, vol b WHERE b.z = least(greatest(a.z + 1, 0), nz - 1) AND b.y = least(greatest(a.y - 3, 0), ny - 1) AND b.x = least(greatest(a.x + 2, 0), nx - 1)")
 def shift_replicate(spark: SparkSession, sf: str) -> DataFrame:
     return stencil.shift(T.volume(spark, sf), (1, -3, 2), T.shape(spark, sf))
