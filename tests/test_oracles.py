@@ -3,7 +3,7 @@
 import pytest
 
 from tests.compare import duck_rows, spark_rows
-from voxframe.plans import queries
+from voxframe.plans import more_queries, queries  # noqa: F401  more_queries registers its own beside the others
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 @pytest.mark.parametrize("name", list(queries.QUERIES))

@@ -111,7 +111,7 @@ def main(args: list[str] | None = None) -> int:
     else:
         voxels = store.read(a.table)
         shape = _shape(voxels)
-    Path(a.out).write_bytes(V.export(voxels, shape, "nii" if ".nii" in a.out else "tif"))
+    V.write_volume(a.out, voxels, shape)
     return 0
 
 

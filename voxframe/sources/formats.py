@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import gzip
+import io
 import re
 import struct
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
+from typing import BinaryIO
 
 import numpy as np
 
+Read = Callable[[int, int], bytes]
+
 # Fixed values of the NIfTI-1 header: type codes and unit codes.
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 NIFTI_UNITS = {0: 1.0, 1: 1e3, 2: 1.0, 3: 1e-3}
@@ -28,14 +33,30 @@ class Volume:
     origin_mm: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
 
-def whole(data: bytes) -> bytes:
-    """The bytes of a file, unpacked if they are gzip."""
-    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+@dataclass(frozen=True)
+class Layout:
+    """Where a file keeps its planes: one list of (offset, bytes) a plane, how they are packed, and how values are scaled."""
+
+    shape: tuple[int, int, int]
+    dtype: str
+    strips: list[list[tuple[int, int]]]
+    packed: bool = False
+    slope: float = 1.0
+    shift: float = 0.0
+    voxel_mm: tuple[float, float, float] | None = None
+    origin_mm: tuple[float, float, float] = (0.0, 0.0, 0.0)
+
+    def plane(self, read: Read, z: int) -> np.ndarray:
+        """One plane; nothing else of the file is read."""
+        parts = [read(at, n) for at, n in self.strips[z]]
+        raw = b"".join(zlib.decompress(p) if self.packed else p for p in parts)
+        a = np.frombuffer(raw, self.dtype, self.shape[1] * self.shape[2]).reshape(self.shape[1:])
+        return a if (self.slope, self.shift) == (1.0, 0.0) else a * self.slope + self.shift
 
 
-def read_nifti(data: bytes) -> Volume:
-    """A single-volume NIfTI-1 file; axes (x, y, z) on disk become (z, y, x)."""
-    data = whole(data)
+def nifti_layout(read: Read) -> Layout:
+    """A single-volume NIfTI-1 file's layout, from its header; axes (x, y, z) on disk become (z, y, x)."""
+    data = read(0, 352)
     for order in "<>":
         if struct.unpack(order + "i", data[:4])[0] == 348:
             break
@@ -53,84 +74,139 @@ def read_nifti(data: bytes) -> Volume:
     offset, slope, inter = struct.unpack(order + "3f", data[108:120])
     unit = NIFTI_UNITS.get(data[123] & 7, 1.0)
     moved = struct.unpack(order + "3f", data[268:280])
-    n = int(np.prod(shape))
-    a = np.frombuffer(data, order + NIFTI_TYPES[kind], n, int(offset)).reshape(shape, order="F").transpose(2, 1, 0)
-    if slope not in (0.0, 1.0) or inter:
-        a = a * (slope or 1.0) + inter
-    return Volume(a, tuple(abs(p) * unit for p in pix[3:0:-1]), tuple(m * unit for m in moved[::-1]))
+    size = shape[0] * shape[1] * np.dtype(NIFTI_TYPES[kind]).itemsize
+    return Layout(tuple(shape[::-1]), order + NIFTI_TYPES[kind], [[(int(offset) + z * size, size)] for z in range(shape[2])], False, slope or 1.0, inter,
+                  tuple(abs(p) * unit for p in pix[3:0:-1]), tuple(m * unit for m in moved[::-1]))
 
 
-def write_nifti(volume: Volume) -> bytes:
-    """A NIfTI-1 file; each axis has 32767 voxels at most."""
-    a = np.asarray(volume.data)
-    if max(a.shape) > 32767:
+def tiff_layout(read: Read) -> Layout:
+    """The pages of a grey TIFF, plain or deflated, from its directories."""
+    order = {b"II": "<", b"MM": ">"}.get(read(0, 2))
+    if order is None or struct.unpack(order + "H", read(2, 2))[0] != 42:
+        raise ValueError("no TIFF header")
+    at, pages = struct.unpack(order + "I", read(4, 4))[0], []
+    while at:
+        count = struct.unpack(order + "H", read(at, 2))[0]
+        entries, tags = read(at + 2, 12 * count + 4), {}
+        for i in range(count):
+            tag, kind, n = struct.unpack(order + "HHI", entries[12 * i : 12 * i + 8])
+            if kind in TIFF_CODES:
+                size = TIFF_SIZES[kind] * n
+                value = entries[12 * i + 8 : 12 * i + 12]
+                raw = value[:size] if size <= 4 else read(struct.unpack(order + "I", value)[0], size)
+                tags[tag] = struct.unpack(f"{order}{n}{TIFF_CODES[kind]}", raw)
+        packed = tags.get(259, (1,))[0]
+        if packed not in (1, 8, 32946) or tags.get(277, (1,))[0] != 1:
+            raise ValueError("only grey pages, plain or deflated, are read")
+        kind = {1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]] + str(tags.get(258, (8,))[0] // 8)
+        pages.append(((tags[257][0], tags[256][0]), order + kind, packed != 1, list(zip(tags[273], tags[279], strict=True))))
+        at = struct.unpack(order + "I", entries[12 * count :])[0]
+    if len({p[:3] for p in pages}) != 1:
+        raise ValueError("pages of one size and type make a volume")
+    (h, w), kind, packed, _ = pages[0]
+    return Layout((len(pages), h, w), kind, [p[3] for p in pages], packed)
+
+
+def layout(path: str, read: Read) -> Layout:
+    """A file's layout by its name."""
+    name = path.lower().removesuffix(".gz")
+    if name.endswith(".nii"):
+        return nifti_layout(read)
+    if name.endswith((".tif", ".tiff")):
+        return tiff_layout(read)
+    raise ValueError(f"{Path(path).name} is no volume file that is known here")
+
+
+def reader(file: BinaryIO) -> Read:
+    """Reads ranges of an open file, packed by gzip or not (then by going through what lies before)."""
+    packed = file.read(2) == b"\x1f\x8b"
+    file.seek(0)
+    source = gzip.GzipFile(fileobj=file) if packed else file
+
+    def read(at: int, n: int) -> bytes:
+        source.seek(at)
+        return source.read(n)
+
+    return read
+
+
+def _whole(found: Layout, read: Read) -> np.ndarray:
+    return np.stack([found.plane(read, z) for z in range(found.shape[0])])
+
+
+def read_nifti(data: bytes) -> Volume:
+    """A single-volume NIfTI-1 file."""
+    read = reader(io.BytesIO(data))
+    found = nifti_layout(read)
+    return Volume(_whole(found, read), found.voxel_mm, found.origin_mm)
+
+
+def nifti_head(shape: tuple[int, int, int], dtype: np.dtype, voxel_mm: tuple[float, float, float] | None = None, origin_mm: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> bytes:
+    """The header of a NIfTI-1 file; each axis has 32767 voxels at most."""
+    if max(shape) > 32767:
         raise ValueError("NIfTI-1 axes are 16-bit numbers")
-    a = a.astype("f4") if a.dtype == np.float16 or a.dtype == bool else a
-    code = next((k for k, t in NIFTI_TYPES.items() if np.dtype(t) == a.dtype), None)
+    code = next((k for k, t in NIFTI_TYPES.items() if np.dtype(t) == dtype), None)
     if code is None:
-        raise ValueError(f"{a.dtype} has no NIfTI type")
-    vz, vy, vx = volume.voxel_mm or (1.0, 1.0, 1.0)
+        raise ValueError(f"{dtype} has no NIfTI type")
+    vz, vy, vx = voxel_mm or (1.0, 1.0, 1.0)
     head = bytearray(352)
     struct.pack_into("<i", head, 0, 348)
-    struct.pack_into("<8h", head, 40, 3, *a.shape[::-1], 1, 1, 1, 1)
-    struct.pack_into("<2h", head, 70, code, 8 * a.dtype.itemsize)
+    struct.pack_into("<8h", head, 40, 3, *shape[::-1], 1, 1, 1, 1)
+    struct.pack_into("<2h", head, 70, code, 8 * dtype.itemsize)
     struct.pack_into("<8f", head, 76, 1, vx, vy, vz, 0, 0, 0, 0)
     struct.pack_into("<3f", head, 108, 352, 1, 0)
     head[123] = 2
-    oz, oy, ox = volume.origin_mm
+    oz, oy, ox = origin_mm
     struct.pack_into("<2h", head, 252, 0, 1)
     struct.pack_into("<12f", head, 280, vx, 0, 0, ox, 0, vy, 0, oy, 0, 0, vz, oz)
     struct.pack_into("<3f", head, 268, ox, oy, oz)
     head[344:348] = b"n+1\0"
-    return bytes(head) + np.ascontiguousarray(a).astype(a.dtype.newbyteorder("<")).tobytes()
+    return bytes(head)
+
+
+def write_planes(out: BinaryIO, planes: Iterator[np.ndarray], shape: tuple[int, int, int], kind: str, dtype: str | np.dtype, voxel_mm: tuple[float, float, float] | None = None, origin_mm: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> None:
+    """Writes a NIfTI-1 or TIFF file plane by plane; no more than one of them is held."""
+    dtype = np.dtype(dtype)
+    if kind == "nii":
+        out.write(nifti_head(shape, dtype, voxel_mm, origin_mm))
+        for page in planes:
+            out.write(np.ascontiguousarray(page).astype(dtype.newbyteorder("<")).tobytes())
+        return
+    size = shape[1] * shape[2] * dtype.itemsize
+    if 8 + shape[0] * (size + 200) > 0xFFFFFFFF:
+        raise ValueError("a TIFF file holds 4 GB; write a folder of slices or NIfTI")
+    form, at = {"u": 1, "i": 2, "f": 3}[dtype.kind], 8
+    out.write(b"II*\0" + struct.pack("<I", at + size + size % 2))
+    for z, page in enumerate(planes):
+        out.write(np.ascontiguousarray(page).astype(dtype.newbyteorder("<")).tobytes() + b"\0" * (size % 2))
+        tags = [(256, 4, shape[2]), (257, 4, shape[1]), (258, 3, 8 * dtype.itemsize), (259, 3, 1), (262, 3, 1), (273, 4, at), (277, 3, 1), (278, 4, shape[1]), (279, 4, size), (339, 3, form)]
+        body = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) if k == 4 else struct.pack("<HHIHH", t, k, 1, v, 0) for t, k, v in tags)
+        at += size + size % 2 + len(body) + 4
+        out.write(body + struct.pack("<I", 0 if z == shape[0] - 1 else at + size + size % 2))
 
 
-def read_tiff(data: bytes) -> np.ndarray:
-    """The pages of an uncompressed (or deflated) grey TIFF as (z, y, x)."""
-    data = whole(data)
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
-        raise ValueError("no TIFF header")
-    at, pages = struct.unpack(order + "I", data[4:8])[0], []
-    while at:
-        count = struct.unpack(order + "H", data[at : at + 2])[0]
-        tags = {}
-        for i in range(count):
-            tag, kind, n = struct.unpack(order + "HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
-            if kind in TIFF_CODES:
-                size = TIFF_SIZES[kind] * n
-                spot = at + 10 + 12 * i if size <= 4 else struct.unpack(order + "I", data[at + 10 + 12 * i : at + 14 + 12 * i])[0]
-                tags[tag] = struct.unpack(f"{order}{n}{TIFF_CODES[kind]}", data[spot : spot + size])
-        pages.append(_page(data, tags, order))
-        at = struct.unpack(order + "I", data[at + 2 + 12 * count : at + 6 + 12 * count])[0]
-    return np.stack(pages)
+def write_nifti(volume: Volume) -> bytes:
+    """A NIfTI-1 file."""
+    a = np.asarray(volume.data)
+    a = a.astype("f4") if a.dtype == np.float16 or a.dtype == bool else a
+    out = io.BytesIO()
+    write_planes(out, iter(a), a.shape, "nii", a.dtype, volume.voxel_mm, volume.origin_mm)
+    return out.getvalue()
 
 
-def _page(data: bytes, tags: dict, order: str) -> np.ndarray:
-    packed = tags.get(259, (1,))[0]
-    if packed not in (1, 8, 32946) or tags.get(277, (1,))[0] != 1:
-        raise ValueError("only grey pages, plain or deflated, are read")
-    strips = [data[o : o + n] for o, n in zip(tags[273], tags[279], strict=True)]
-    raw = b"".join(zlib.decompress(s) if packed != 1 else s for s in strips)
-    kind = {1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]] + str(tags.get(258, (8,))[0] // 8)
-    return np.frombuffer(raw, order + kind, tags[257][0] * tags[256][0]).reshape(tags[257][0], tags[256][0])
+def read_tiff(data: bytes) -> np.ndarray:
+    """The pages of a grey TIFF as (z, y, x)."""
+    read = reader(io.BytesIO(data))
+    return _whole(tiff_layout(read), read)
 
 
 def write_tiff(stack: np.ndarray) -> bytes:
     """(z, y, x) as an uncompressed grey TIFF, one strip a page."""
     a = np.asarray(stack)
     a = a.astype("u1") if a.dtype == bool else a
-    form = {"u": 1, "i": 2, "f": 3}[a.dtype.kind]
-    out, places = bytearray(b"II*\0\0\0\0\0"), [4]
-    for page in a:
-        raw = np.ascontiguousarray(page).astype(a.dtype.newbyteorder("<")).tobytes()
-        spot = len(out)
-        out += raw + b"\0" * (len(raw) % 2)
-        struct.pack_into("<I", out, places[-1], len(out))
-        tags = [(256, 4, page.shape[1]), (257, 4, page.shape[0]), (258, 3, 8 * a.dtype.itemsize), (259, 3, 1), (262, 3, 1), (273, 4, spot), (277, 3, 1), (278, 4, page.shape[0]), (279, 4, len(raw)), (339, 3, form)]
-        out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) if k == 4 else struct.pack("<HHIHH", t, k, 1, v, 0) for t, k, v in tags) + bytes(4)
-        places.append(len(out) - 4)
-    return bytes(out)
+    out = io.BytesIO()
+    write_planes(out, iter(a), a.shape, "tif", a.dtype)
+    return out.getvalue()
 
 
 def natural(name: str) -> list:
@@ -173,9 +249,6 @@ def heat(image: np.ndarray, top: float, gave_up: np.ndarray | None = None) -> np
 
 def open_volume(path: str, data: bytes) -> Volume:
     """A file's volume by its name: NIfTI or TIFF, gzip allowed."""
-    name = path.lower().removesuffix(".gz")
-    if name.endswith((".nii",)):
-        return read_nifti(data)
-    if name.endswith((".tif", ".tiff")):
-        return Volume(read_tiff(data))
-    raise ValueError(f"{Path(path).name} is no volume file that is known here")
+    read = reader(io.BytesIO(data))
+    found = layout(path, read)
+    return Volume(_whole(found, read), found.voxel_mm, found.origin_mm)

@@ -6,6 +6,7 @@ folder. Block rows hold a box of a volume as bytes; voxel rows and block rows tu
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.scalar import AXES
 from voxframe.session import ship
-from voxframe.sources.formats import Volume, open_volume, write_nifti, write_tiff
+from voxframe.sources.formats import natural, open_volume, write_planes
 
+#: Planes that reach the driver at a time.
+PLANES = 8
 BLOCK = "subject int, level int, bz int, by int, bx int, origin array<int>, shape array<int>, data binary"
 
 
@@ -75,23 +78,63 @@ def to_voxels(blocks: DataFrame) -> DataFrame:
     return blocks.mapInPandas(run, "subject int, level int, z int, y int, x int, v double")
 
 
+def plane_rows(voxels: DataFrame, shape: tuple[int, int, int], dtype: str = "f4") -> DataFrame:
+    """(z, data): whole planes as bytes, put together on the executors; planes without a voxel have no row."""
+    ship(voxels.sparkSession)
+    kind = np.dtype(dtype)
+
+    def one(rows: pa.Table) -> pa.Table:
+        out = np.zeros(shape[1:], kind)
+        v = rows.column("v").to_numpy()
+        out[rows.column("y").to_numpy(), rows.column("x").to_numpy()] = np.rint(v) if kind.kind in "iu" else v
+        return pa.table({"z": pa.array([rows.column("z")[0].as_py()], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())})
+
+    return voxels.select(F.col("z").cast("int").alias("z"), "y", "x", F.col("v").cast("double").alias("v")).groupBy("z").applyInArrow(one, "z int, data binary")
+
+
 def planes(voxels: DataFrame, shape: tuple[int, int, int], dtype: str = "f4") -> Iterator[np.ndarray]:
-    """The planes of a volume in order; the driver holds one Spark partition at a time."""
-    now, at = np.zeros(shape[1:], dtype), 0
-    for r in voxels.select(*AXES, "v").orderBy("z").toLocalIterator():
-        while r[0] > at:
-            yield now
-            now, at = np.zeros(shape[1:], dtype), at + 1
-        now[r[1], r[2]] = r[3]
-    while at < shape[0]:
-        yield now
-        now, at = np.zeros(shape[1:], dtype), at + 1
+    """The planes of a volume in order; the driver holds one Spark partition of about PLANES of them at a time."""
+    at, empty = 0, np.zeros(shape[1:], dtype)
+    parts = max(1, -(-shape[0] // PLANES))
+    for r in plane_rows(voxels, shape, dtype).repartitionByRange(parts, "z").sortWithinPartitions("z").toLocalIterator():
+        while at < r["z"]:
+            yield empty
+            at += 1
+        yield np.frombuffer(r["data"], dtype).reshape(shape[1:])
+        at += 1
+    for _ in range(at, shape[0]):
+        yield empty
+
+
+def write_volume(path: str, voxels: DataFrame, shape: tuple[int, int, int], dtype: str = "f4", voxel_mm: tuple[float, float, float] | None = None, origin_mm: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> None:
+    """Writes a volume to a NIfTI or TIFF file of the driver, some planes at a time, whatever its size."""
+    kind = "nii" if path.lower().endswith(".nii") else "tif"
+    with open(path, "wb") as f:
+        write_planes(f, planes(voxels, shape, dtype), shape, kind, dtype, voxel_mm, origin_mm)
 
 
 def export(voxels: DataFrame, shape: tuple[int, int, int], kind: str = "nii", dtype: str = "f4", voxel_mm: tuple[float, float, float] | None = None) -> bytes:
-    """A volume as the bytes of a NIfTI or TIFF file."""
-    a = np.stack(list(planes(voxels, shape, dtype)))
-    return write_nifti(Volume(a, voxel_mm)) if kind == "nii" else write_tiff(a)
+    """A small volume as the bytes of a NIfTI or TIFF file; write_volume takes any size."""
+    out = io.BytesIO()
+    write_planes(out, planes(voxels, shape, dtype), shape, kind, dtype, voxel_mm)
+    return out.getvalue()
+
+
+def read_source(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
+    """(z, y, x, v) of whatever lies at a path: a Zarr array or image, a volume file, or a folder of slices in natural order."""
+    from voxframe.sources import datasource, zarrscan
+
+    if zarrscan.is_zarr(spark, path):
+        return zarrscan.read_zarr(spark, path, dataset)
+    if path.lower().removesuffix(".gz").endswith((".nii", ".tif", ".tiff")):
+        if "://" not in path or path.startswith("file:///"):
+            datasource.register(spark)
+            return spark.read.format("volume").load(path)
+        return read_volumes(spark, path).drop("path")
+    files = read_volumes(spark, path)
+    names = sorted((r["path"] for r in files.select("path").distinct().collect()), key=natural)  # a name a slice
+    order = spark.createDataFrame(list(enumerate(names)), "slice int, path string")
+    return files.join(F.broadcast(order), "path").select((F.col("z") + F.col("slice")).alias("z"), "y", "x", "v")
 
 
 def half_mean(coarse: DataFrame, fine: DataFrame, tolerance: float) -> bool:
