@@ -19,10 +19,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import keep_ids, lean, mix, slices, small_enough, staged, tuned, utf8
+from voxframe.llm.common import keep_ids, lean, mix, slices, small_enough, staged, stored_bytes, tuned, utf8
 
-#: Bytes in an n-gram (at most 7). A language's documents are dealt to one in SHARDS of the shuffle's partitions.
+#: Bytes in an n-gram (at most 7). A language's documents are dealt to one in SHARDS of the shuffle's partitions, or fewer for little text.
 ORDER, SHARDS = 5, 4
+#: Bytes of the documents' files for each copy of a language's models, and parts that a language's model is packed in.
+COPY_BYTES, PARTS = 16_000_000, 16
 #: Bytes in a window over which the log-ratio of the toxic and the trusted model is summed.
 TOXIC_WINDOW = 16
 #: Of trusted documents one in HELD_OUT sets thresholds and is not trained on, so thresholds carry no memory of the text.
@@ -149,7 +151,7 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def packed(model: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, model): each language's model as one blob."""
+    """(lang, model): each language's model as an array of PARTS blobs; keys are dealt to parts by hash, each part is packed by itself."""
     tuned(model.sparkSession)
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
@@ -157,11 +159,23 @@ def packed(model: DataFrame, order: int = ORDER) -> DataFrame:
         for k in range(1, order + 1):
             own = group[group.k == k]
             for value in ("p", "gamma"):
-                some = own[own[value].notna()].sort_values("key")
+                some = own[own[value].notna()]
                 arrays += [some["key"].to_numpy("<i8"), np.log(some[value].to_numpy("<f8"))]
         return pd.DataFrame({"lang": group.lang.iloc[:1], "model": [_pack(*arrays)]})
 
-    return model.groupBy("lang").applyInPandas(pack, "lang string, model binary")
+    parts = model.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS))).groupBy("lang", "part").applyInPandas(pack, "lang string, model binary")
+    return parts.groupBy("lang").agg(F.collect_list("model").alias("model"))
+
+
+def unpacked(parts: list[bytes]) -> list[np.ndarray]:
+    """A packed model's arrays for each order: sorted n-grams and their log p, sorted contexts and their log gamma."""
+    pieces = [_unpack(p, "<i8", "<f8") for p in parts]
+    out = []
+    for i in range(0, len(pieces[0]), 2):
+        keys, values = (np.concatenate([p[j] for p in pieces]) for j in (i, i + 1))
+        at = np.argsort(keys)
+        out += [keys[at], values[at]]
+    return out
 
 
 def log_p(model: list[np.ndarray], grams_: np.ndarray, order: int) -> np.ndarray:
@@ -221,7 +235,7 @@ def losses(docs: DataFrame, model: DataFrame, order: int = ORDER, n: int = SHARD
         for b in batches:
             for lang, blob, *both in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
                 if (both := tuple(m.as_py() for m in both)) != last:
-                    last, parsed = both, [None if m is None else _unpack(m, "<i8", "<f8") for m in both]
+                    last, parsed = both, [None if m is None else unpacked(m) for m in both]
                 ids, sizes, raw = _unpack(blob.as_py(), "<i8", "<i8", "u1")
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 for lo, hi in slices(offsets):
@@ -234,9 +248,9 @@ def losses(docs: DataFrame, model: DataFrame, order: int = ORDER, n: int = SHARD
                     peak = pa.nulls(len(each), pa.float64()) if p is None or q is None else pa.array(peaks((q - p)[at], starts))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array([lang] * len(each), pa.string()), pa.array(each), loss, peak], ["doc_id", "lang", "n", "loss", "peak"])
 
-    copies = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n)
+    copies = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n, max(2, stored_bytes(docs) // COPY_BYTES)))
     models = packed(model, order)
-    models = models.withColumn("toxic", F.lit(None).cast("binary")) if toxic is None else models.join(packed(toxic, order).withColumnRenamed("model", "toxic"), "lang", "left")
+    models = models.withColumn("toxic", F.lit(None).cast("array<binary>")) if toxic is None else models.join(packed(toxic, order).withColumnRenamed("model", "toxic"), "lang", "left")
     models = models.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     joined = _documents(docs, copies).join(models, ["lang", "salt"], "left").select("lang", "docs", "model", "toxic")
     parts = joined.mapInArrow(lean(run), "doc_id long, lang string, n long, loss double, peak double")
