@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from voxframe.llm.common import keep_ids, lean, mix, slices, small_enough, staged, stored_bytes, tuned, utf8
 
 #: Bytes in an n-gram (at most 7). A language's documents are dealt to one in SHARDS of the shuffle's partitions, or fewer for little text.
-ORDER, SHARDS = 5, 4
+ORDER, SHARDS = 5, 6
 #: Bytes of the documents' files for each copy of a language's models, and parts that a language's model is packed in.
 COPY_BYTES, PARTS = 16_000_000, 16
 #: Bytes in a window over which the log-ratio of the toxic and the trusted model is summed.
@@ -159,8 +159,8 @@ def packed(model: DataFrame, order: int = ORDER) -> DataFrame:
         for k in range(1, order + 1):
             own = group[group.k == k]
             for value in ("p", "gamma"):
-                some = own[own[value].notna()]
-                arrays += [some["key"].to_numpy("<i8"), np.log(some[value].to_numpy("<f8"))]
+                some = own[own[value].notna()].sort_values("key")
+                arrays += [np.diff(some["key"].to_numpy("<i8"), prepend=0), np.log(some[value].to_numpy("<f8"))]  # differences pack well
         return pd.DataFrame({"lang": group.lang.iloc[:1], "model": [_pack(*arrays)]})
 
     parts = model.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS))).groupBy("lang", "part").applyInPandas(pack, "lang string, model binary")
@@ -172,7 +172,7 @@ def unpacked(parts: list[bytes]) -> list[np.ndarray]:
     pieces = [_unpack(p, "<i8", "<f8") for p in parts]
     out = []
     for i in range(0, len(pieces[0]), 2):
-        keys, values = (np.concatenate([p[j] for p in pieces]) for j in (i, i + 1))
+        keys, values = np.concatenate([np.cumsum(p[i]) for p in pieces]), np.concatenate([p[i + 1] for p in pieces])
         at = np.argsort(keys)
         out += [keys[at], values[at]]
     return out
