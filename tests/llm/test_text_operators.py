@@ -378,6 +378,22 @@ def test_similarity_equals_brute_force(spark, most):
     assert got == brute_classes(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("most, frequent", [(300, 2), (1500, 3), (10**6, 2)])
+def test_similarity_of_shared_passages(spark, monkeypatch, most, frequent):
+    """Two groups of near copies that share a passage with many other documents: several leaders, frequent shingles last."""
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    passage, bases, texts = [word() for _ in range(25)], [[word() for _ in range(80)] for _ in range(3)], []
+    for i in range(150):
+        t = list(bases[i % 3]) if i % 5 else [word() for _ in range(60)]
+        for _ in range(r.choice([0, 1, 2, 3])):
+            t[r.randrange(len(t))] = word()
+        texts.append(" ".join(t[:20] + passage + t[20:]))
+    got = {x[0]: (x[1], x[2]) for x in jaccard_join.join_similar(docs_of(spark, texts), most=most).collect()}
+    assert got == brute_classes(list(enumerate(texts)))
+
+
 def test_similarity_of_a_chain_in_blocks(spark):
     """Neighbours are linked, the ends share nothing: no leader holds them together."""
     texts = [" ".join(f"w{j}" for j in range(8 * i, 8 * i + 100)) for i in range(60)]

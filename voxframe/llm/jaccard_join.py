@@ -4,11 +4,12 @@
    out by hash, packed, to be counted; a slice of documents sends a shingle that it holds twice only once,
    so that frequent shingles stay small. Documents that fail are alone for certain.
 2. Equal sets are one representative. Representatives that share a prefix shingle (two linked sets must) are
-   chained into clusters; links never leave a cluster.
+   chained into clusters; links never leave a cluster. Prefixes take frequent shingles last, so that a passage
+   that many documents share does not chain them.
 3. Inside a cluster a signature tree finds the links. Its nodes hold the OR of their members' token bitmaps,
    their size range and how far bitmaps undercount; a dual traversal drops node pairs whose greatest possible
    overlap is too small, or whose members are known to be connected, and verifies what is left on whole sets.
-   A large cluster is first compared with one leader; only what the leader leaves is paired, in blocks.
+   A large cluster is first compared with some leaders; only what they leave is paired, in blocks.
 """
 
 from __future__ import annotations
@@ -26,7 +27,12 @@ from voxframe.llm.components import components
 #: Words in a shingle, and the similarity of a link in hundredths.
 WORDS, PERCENT = 5, 80
 #: Shingles (8 bytes each) that one task holds of a cluster; larger clusters are cut into blocks of half as many.
-MOST_SHINGLES = 2_000_000
+MOST_SHINGLES = 400_000
+#: Members of a large cluster that all others are compared with.
+LEADERS = 4
+#: Representatives from which on a prefix shingle is frequent, and how many such shingles are sent to tasks (8 bytes each):
+#: with more of them, only more frequent ones count. Any choice gives the same links.
+FREQUENT, MOST_FREQUENT = 32, 500_000
 #: Children of a tree node.
 FANOUT = 8
 #: Bits of a shingle's hash that are counted; chance equals only let a document through to the next step.
@@ -189,15 +195,29 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(lean(run), "doc_id long, n long, tokens binary")
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id) for each prefix shingle: two sets that are linked have one in common."""
+def _frequent(sets: DataFrame, percent: int) -> np.ndarray:
+    """Sorted shingles that are in the plain prefixes of many sets; at most MOST_FREQUENT."""
+    counts = staged(_prefixes(sets, percent, np.zeros(0, np.uint64)).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT), "frequent")
+    least = FREQUENT
+    while not small_enough(counts.where(F.col("n") >= least), MOST_FREQUENT):
+        least *= 2
+    rows = counts.where(F.col("n") >= least).select("key").toPandas()["key"].to_numpy("<i8")  # MOST_FREQUENT numbers at most
+    return np.sort(rows.view(np.uint64))
+
+
+def _prefixes(sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
+    """(key, doc_id) for each prefix shingle: two sets that are linked have one in common, as all are in one order, frequent ones last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, owner = [], []
             for doc, n, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 k = n - -(-percent * n // 100) + 1
-                keys.append(np.frombuffer(tokens.as_buffer(), "<i8", k))
+                own = np.frombuffer(tokens.as_buffer(), "<u8", n)
+                if len(frequent):
+                    often = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
+                    own = np.concatenate([own[~often], own[often]])
+                keys.append(own[:k].view(np.int64))
                 owner.append(np.full(k, doc, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner))], ["key", "doc_id"])
 
@@ -339,20 +359,33 @@ def _links(members: DataFrame, percent: int, most: int) -> DataFrame:
     small = rest.select("cluster", *columns, F.lit(0).alias("side"), none.alias("leader")).groupBy("cluster").applyInArrow(unit, "a long, b long")
     large = members.join(F.broadcast(big) if fits else big, "cluster")
 
-    # The leader of a large cluster is a member of middling size; each member is compared with it where it lies.
+    # Leaders of a large cluster are members of middling size, told apart by hash; each member is compared with them where it lies.
     sizes = large.groupBy("cluster").agg(F.percentile_approx("n", 0.5, 1000).alias("mid"))
-    near = large.join(F.broadcast(sizes) if fits else sizes, "cluster").groupBy("cluster").agg(F.min(F.struct(F.abs(F.col("n") - F.col("mid")), F.col("doc_id"))).alias("x")).select("cluster", F.col("x.doc_id").alias("leader"))
-    leaders = large.join(F.broadcast(near) if fits else near, "cluster").where("doc_id = leader").select("cluster", "leader", F.col("tokens").alias("led"))
-    light = small_enough(leaders, 2_000)
+    off = F.floor(4 * F.abs(F.col("n") - F.col("mid")) / F.col("mid"))
+    first = [F.min_by("doc_id", F.struct(off, F.xxhash64(F.lit(i), F.col("doc_id")), F.col("doc_id"))).alias(f"l{i}") for i in range(LEADERS)]
+    near = large.join(F.broadcast(sizes) if fits else sizes, "cluster").groupBy("cluster").agg(*first)
+    near = near.select("cluster", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("leader"))
+    led = large.join(F.broadcast(near) if fits else near, "cluster").where("doc_id = leader").select("cluster", F.struct("leader", "tokens").alias("one")).groupBy("cluster").agg(F.sort_array(F.collect_list("one")).alias("leds"))  # LEADERS a cluster
+    leaders = led.select("cluster", F.col("leds.leader").alias("leaders"), F.col("leds.tokens").alias("leds"))
+    light = small_enough(leaders, 500)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t, led = b.column(b.schema.get_field_index("tokens")), b.column(b.schema.get_field_index("led"))
-            like = [linked(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(t, led, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("cluster", *columns, "leader")), pa.array(like, pa.bool_())], ["cluster", *columns, "leader", "like"])
-
-    told = staged(large.select("cluster", *columns).join(F.broadcast(leaders) if light else leaders, "cluster").mapInArrow(lean(compare), "cluster long, doc_id long, n long, tokens binary, leader long, like boolean"), "led")
-    stars = told.where("like").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
+            t, ids, leds = (b.column(b.schema.get_field_index(c)) for c in ("tokens", "leaders", "leds"))
+            like = []
+            for x, who, some in zip(t, ids, leds, strict=True):
+                own = np.frombuffer(x.as_buffer(), "<u8")
+                like.append([i for i, y in zip(who.as_py(), some, strict=True) if linked(own, np.frombuffer(y.as_buffer(), "<u8"), percent)])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("cluster", *columns)), pa.array(like, pa.list_(pa.int64()))], ["cluster", *columns, "likes"])
+
+    told = large.select("cluster", *columns).join(F.broadcast(leaders) if light else leaders, "cluster").mapInArrow(lean(compare), "cluster long, doc_id long, n long, tokens binary, likes array<long>")
+    told = staged(told, "led")
+    stars = told.select(F.col("doc_id").alias("a"), F.explode("likes").alias("b"))
+    # What leaders link is connected, also by members that two of them link. The heaviest such part of a cluster need not be compared within.
+    hubs = staged(components(stars), "hubs")
+    told = told.drop("likes").join(F.broadcast(hubs) if small_enough(hubs) else hubs, F.col("doc_id") == F.col("node"), "left").drop("node").withColumnRenamed("component", "leader")
+    main = told.where("leader IS NOT NULL").groupBy("cluster", "leader").agg(F.sum("n").alias("w")).groupBy("cluster").agg(F.max_by("leader", F.struct("w", "leader")).alias("main"))
+    told = told.join(F.broadcast(main) if fits else main, "cluster", "left").withColumn("like", F.coalesce(F.col("leader") == F.col("main"), F.lit(False))).drop("main")
 
     # What the leader leaves is cut into blocks, by size; each is paired with itself and with every block that its sizes allow.
     half = most // 2
@@ -368,7 +401,7 @@ def _links(members: DataFrame, percent: int, most: int) -> DataFrame:
     pairs = x.join(y, F.expr("x.cluster = y.cluster")).where(f"(y.like OR x.block <= y.block) AND 100 * x.high >= {percent} * y.low AND 100 * y.high >= {percent} * x.low")
     pairs = staged(pairs.select(F.col("x.cluster").alias("cluster"), F.col("x.block").alias("bx"), F.col("y.block").alias("by"), F.col("y.like").alias("ly"), F.monotonically_increasing_id().alias("unit")), "pairs")
     sides = pairs.select("cluster", F.lit(False).alias("like"), F.col("bx").alias("block"), "unit", F.lit(0).alias("side")).unionByName(pairs.where("ly OR bx <> by").select("cluster", F.col("ly").alias("like"), F.col("by").alias("block"), "unit", F.lit(1).alias("side")))
-    units = placed.join(sides, ["cluster", "like", "block"]).select("unit", *columns, "side", F.when(F.col("like"), F.col("leader")).alias("leader"))
+    units = placed.join(sides, ["cluster", "like", "block"]).select("unit", *columns, "side", "leader")
     return small.unionByName(stars).unionByName(units.groupBy("unit").applyInArrow(unit, "a long, b long"))
 
 
@@ -388,7 +421,7 @@ def join_similar(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, mos
     same = staged(facts.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("shared").alias("shared")), "same")
     reps = same.where(100 * F.col("shared") >= percent * F.col("n")).select(F.col("rep").alias("doc_id"))
     sets = staged(_sets(keep_ids(docs, reps), size), "sets")
-    keys = _prefixes(sets, percent)
+    keys = _prefixes(sets, percent, _frequent(sets, percent))
     lead = keys.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last")
     chained = components(keys.join(lead, "key").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")))
     chained = staged(chained.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
