@@ -1,12 +1,14 @@
 """The pipeline, stage by stage, against brute force."""
 
 import hashlib
+import random
+import re
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_text_operators import awkward, brute_classes, brute_lines
+from tests.llm.test_text_operators import awkward, brute_classes, brute_lines, brute_model
 from voxframe.llm import decontaminate, kneser_ney, words
 
 SF = "/root/testdata/sf0.01"
@@ -54,6 +56,69 @@ def test_stage_on_awkward_rows(spark, name, stage):
     assert got.count() <= df.count() and stage(spark, df.limit(0), SF).count() == 0
 
 
-def test_run_keeps_order_of_magnitude(spark):
-    n = corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
-    assert 80 <= n <= 200
+def quantile(values, q):
+    return sorted(values)[max(0, int(np.ceil(q * len(values))) - 1)]
+
+
+def brute_rejected(rows, good, held, toxic):
+    """Documents of one language that the classifier rejects, by the definition: models from dictionaries, thresholds by sorting."""
+    order = kneser_ney.ORDER
+    plain, bad = brute_model([rows[d] for d in sorted(good - held)], order), brute_model([rows[d] for d in sorted(toxic)], order)
+    loss, peak, size = {}, {}, {}
+    for d, t in rows.items():
+        b = b"\0" * (order - 1) + t.encode() + b"\0"
+        grams = [b[i : i + order] for i in range(len(b) - order + 1)]
+        p, q = (np.log([m(g) for g in grams]) for m in (plain, bad))
+        window = kneser_ney.TOXIC_WINDOW
+        loss[d], size[d] = -p.sum(), len(grams)
+        peak[d] = max((q - p)[i : i + window].sum() for i in range(max(1, len(grams) - window + 1)))
+    mean = sum(loss[d] for d in good - held) / sum(size[d] for d in good - held)
+    smooth = {d: (loss[d] + kneser_ney.PRIOR * mean) / (size[d] + kneser_ney.PRIOR) for d in rows}
+    limit, most = (quantile([x[d] for d in held], kneser_ney.QUANTILE) for x in (smooth, peak))
+    return {d for d in rows if round(float(np.exp(smooth[d])), 9) > round(float(np.exp(limit)), 9) or round(peak[d], 6) > round(most, 6)}
+
+
+def edits(item, text):
+    """The least edit distance of an item to any part of a text, by the table of the definition."""
+    row = np.arange(len(item) + 1)
+    least = row[-1]
+    for c in text:
+        new = np.zeros_like(row)
+        for i in range(1, len(row)):
+            new[i] = min(row[i - 1] + (item[i - 1] != c), row[i] + 1, new[i - 1] + 1)
+        row = new
+        least = min(least, row[-1])
+    return least
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    """run() as a whole on small tables with all that its stages look for, against the stages' definitions."""
+    r = random.Random(21)
+    words_ = ["".join(r.choice("abcdeilmnorstu") for _ in range(r.randint(2, 7))) for _ in range(50)]
+    say = lambda n: " ".join(r.choice(words_) for _ in range(n)).capitalize() + "."
+    items = [(i, say(9)) for i in range(3)]
+    texts = [" ".join(say(r.randint(5, 12)) for _ in range(3)) for _ in range(50)]
+    texts += ["".join(r.choice("#@$%qxzjkw&*0189") for _ in range(150)) for _ in range(4)]  # junk
+    texts += [texts[i] + " zzgrukk zzgrukk " + say(8) for i in range(8)]  # toxic
+    texts += [texts[3], texts[4].replace(" ", "  "), texts[5] + " end"] + [say(6) + " " + items[0][1] + " " + say(6), say(6) + items[1][1].replace("a", "e", 1)]
+    line = "This line is in many documents of the table"
+    texts += [say(20) + "\n" + line + "\n" + say(12) for _ in range(3)] + ["", None, "x"]
+    labels = [(i, 1, 0) for i in range(50)] + [(i, 0, 0) for i in range(50, 54)] + [(i, 1, 1) for i in range(54, 60)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {x["doc_id"]: x for x in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
+
+    told = {x["doc_id"]: x["held"] for x in kneser_ney.trusted(spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    rejected = brute_rejected({i: t or "" for i, t in enumerate(texts)}, set(told), {d for d, h in told.items() if h}, set(range(54, 60)))
+    assert set(range(50, 60)) <= rejected
+    now = {i: t for i, t in enumerate(texts) if i not in rejected}
+    now = {d: x[2] for d, x in brute_lines(sorted(now.items())).items()}
+    first = brute_classes(sorted(now.items()))
+    now = {d: t for d, t in now.items() if first[d][1] == d}
+    normal = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).strip()
+    budget = lambda t: int(decontaminate.ERROR_RATE * len(t))
+    now = {d: t for d, t in now.items() if all(edits(normal(i), normal(t)) > budget(normal(i)) for _, i in items)}
+    library = words.tokenizer()
+    assert {d: x["ids"] for d, x in got.items()} == {d: library.encode(t, add_special_tokens=False).ids for d, t in now.items()}
+    assert 20 < len(now) < len(texts) - 12
