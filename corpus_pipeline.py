@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.llm import bpe_chunks, decontaminate, jaccard_join, kneser_ney, line_dedup
-from voxframe.llm.common import staged, table, tuned
+from voxframe.llm.common import removed, staged, table, tuned
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    docs = table(tuned(spark), sf_dir, "documents")
+    docs, before = table(tuned(spark), sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:  # its rows are written anew
+            removed(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
