@@ -24,8 +24,8 @@ from voxframe.llm.words import Memo, column_encoder, joined, tokenizer
 
 #: Rolling window in bytes (a power of two), and bits of the hash that must be 0 at a cut: 256 bytes a chunk on average.
 WINDOW, CUT_BITS = 16, 8
-#: Bytes of chunks and ids that a worker keeps. They bound memory only.
-MOST_BYTES = 32_000_000
+#: Bytes of chunks and ids that a worker keeps, of words and ids beside them, and of texts that are encoded at once. They bound memory only.
+MOST_BYTES, WORD_BYTES, AT_ONCE = 12_000_000, 6_000_000, 2_000_000
 #: Bytes whose rolling hashes are held at once.
 HASHED_BYTES = 1 << 20
 _BLANK = np.zeros(256, bool)
@@ -65,7 +65,7 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str | None = None, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]] | None = None, most: int = MOST_BYTES) -> None:
-        self.encode = encode or column_encoder(path).column
+        self.encode = encode or column_encoder(path, WORD_BYTES).column
         self.chunks = Memo(self._chunks, pa.large_binary(), most)
         self.grown = self.whole = 0
 
@@ -199,7 +199,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
     Null and empty texts have no ids. Texts of any length are whole; equal texts have equal ids. Other
     columns stay as they are; a column named `ids` is replaced.
     """
-    tuned(docs.sparkSession)
+    tuned(docs.sparkSession, AT_ONCE)
     docs = docs.drop("ids")
     schema = docs.schema.simpleString()[7:-1]
 
@@ -235,7 +235,7 @@ def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False)
     Null text counts as empty: no tokens, and the digests of nothing. Rows with equal texts agree;
     repeated doc_ids give repeated rows; other columns are not read.
     """
-    tuned(docs.sparkSession)
+    tuned(docs.sparkSession, AT_ONCE)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

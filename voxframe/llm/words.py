@@ -50,8 +50,7 @@ def letters_only(path: str | None = None):
     """
     from tokenizers import Tokenizer, pre_tokenizers
 
-    t = Tokenizer.from_str(tokenizer(path).to_str())
-    t.normalizer = None
+    t = Tokenizer(tokenizer(path).model)  # shared, not copied
     t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return t
 
@@ -115,12 +114,12 @@ class ColumnEncoder:
     library, unseen runs of letters in few calls: each ends in the one token that has the word end.
     """
 
-    def __init__(self, path: str | None = None) -> None:
+    def __init__(self, path: str | None = None, most: int = MOST_BYTES) -> None:
         self.library, self.letters = tokenizer(path), letters_only(path)
         vocab = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.memo = Memo(self._words, pa.large_string())
+        self.memo = Memo(self._words, pa.large_string(), most)
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (one more than texts). Null counts as empty."""
@@ -182,6 +181,6 @@ class ColumnEncoder:
 
 
 @lru_cache(maxsize=2)
-def column_encoder(path: str | None = None) -> ColumnEncoder:
+def column_encoder(path: str | None = None, most: int = MOST_BYTES) -> ColumnEncoder:
     """The worker's own encoder of columns."""
-    return ColumnEncoder(path)
+    return ColumnEncoder(path, most)
