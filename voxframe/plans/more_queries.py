@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from voxframe.functions.scalar import AXES, VECTOR
@@ -229,6 +230,11 @@ def _covering_sql(a: str) -> str:
     return f"(SELECT unnest(range(-10, 400)) * 6 AS w{a}) q{a}"
 
 
+def _in_order(group: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    """A whole group, added up in this order."""
+    return Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 @query(f"""WITH {VOL}, m AS (SELECT v.z, v.y, v.x, v.v, wz, wy, wx FROM vol v JOIN {_covering_sql('z')} ON wz <= v.z AND v.z < wz + 8 JOIN {_covering_sql('y')} ON wy <= v.y AND v.y < wy + 8 JOIN {_covering_sql('x')} ON wx <= v.x AND v.x < wx + 8),
 a AS (SELECT wz, wy, wx, avg(v) AS mean FROM m GROUP BY ALL),
 g AS (SELECT m.*, a.mean, {" * ".join(f"exp(-0.5 * pow((m.{a} - m.w{a} - 3.5) / 2.0, 2))" for a in AXES)} AS g FROM m JOIN a ON a.wz = m.wz AND a.wy = m.wy AND a.wx = m.wx)
@@ -243,8 +249,11 @@ def sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
     weight = F.lit(1.0)
     for a in AXES:
         weight = weight * F.exp(-0.5 * F.pow((F.col(a) - F.col("w" + a) - 3.5) / 2.0, 2))
-    met = v.join(v.groupBy(*window).agg(F.avg("v").alias("mean")), window).withColumn("g", weight)
-    return rounded(met.groupBy(*AXES).agg((F.sum(F.col("g") * (F.col("v") - F.col("mean"))) / F.sum("g")).alias("v")), "v", digits=4)
+    # cents less a mean of 512 often lie halfway between two roundings: sums in a fixed order round them alike, however rows are dealt
+    met = v.withColumns({"mean": F.avg("v").over(_in_order(window, AXES)), "g": weight})
+    total = {"v": F.sum(F.col("g") * (F.col("v") - F.col("mean"))), "g": F.sum("g")}
+    met = met.withColumns({"n": F.row_number().over(Window.partitionBy(*AXES).orderBy(*window)), **{c: t.over(_in_order(AXES, window)) for c, t in total.items()}})
+    return rounded(met.where("n = 1").select(*AXES, (F.col("v") / F.col("g")).alias("v")), "v", digits=4)
 
 
 @query(f"""WITH {VOL}, mid AS (SELECT y, x, v FROM vol, dims WHERE z = nz // 2), s AS (SELECT CAST(a.i AS INT) AS i, CAST(b.j AS INT) AS j FROM (SELECT unnest(range(32)) AS i) a, (SELECT unnest(range(32)) AS j) b)
