@@ -1,5 +1,6 @@
 """Levels and windows of a grid of 18,000 planes, beyond the fixed lists of some queries' SQL."""
 
+from voxframe.operators import tiling
 from voxframe.operators.tiling import Grid
 from voxframe.plans import frames
 
@@ -15,3 +16,18 @@ def lattice(shape, factor):
 def test_residual_maps_of_every_level(spark):
     got = sorted(map(tuple, frames.mapped_levels(spark, TALL, 8, 3, 100).collect()))
     assert got == [(level, lattice(s, 3), lattice(s, 3) <= 100) for level, s in enumerate(SHAPES)]
+
+
+def test_windows_of_every_chunk(spark):
+    got = tiling.anchored_windows(tiling.tile(spark, TALL.shape, 8, 4), 8, 6)
+    ids = {0, 13, 3599, 3612, 14000, 26999}
+    want = set()
+    for i in ids:
+        index = (i // 12, i // 4 % 3, i % 4)
+        low = [max(k * 8 - 4, 0) for k in index]
+        high = [min(k * 8 + 12, n) for k, n in zip(index, TALL.shape, strict=True)]
+        z, y, x = ([w for w in range(-12, n + 12, 6) if w + 8 > a and w < b] for a, b, n in zip(low, high, TALL.shape, strict=True))
+        want |= {(i, wz, wy, wx) for wz in z for wy in y for wx in x}
+    some = list(map(tuple, got.where(got.chunk_id.isin(*ids)).collect()))
+    assert len(some) == len(want) and set(some) == want
+    assert got.select("chunk_id").distinct().count() == 27000
