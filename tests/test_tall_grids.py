@@ -31,3 +31,10 @@ def test_windows_of_every_chunk(spark):
     some = list(map(tuple, got.where(got.chunk_id.isin(*ids)).collect()))
     assert len(some) == len(want) and set(some) == want
     assert got.select("chunk_id").distinct().count() == 27000
+
+
+def test_layouts_of_every_level(spark):
+    got = frames.block_layout(tiling.grids(spark, TALL, 8), 5, 8).select("level", *[f"{w}_{a}" for w in ("block", "file") for a in "zyx"])
+    blocks = [[min(5, n) for n in s] for s in SHAPES]
+    files = [[-(-min(8, n) // b) * b for n, b in zip(s, bs, strict=True)] for s, bs in zip(SHAPES, blocks, strict=True)]
+    assert sorted(map(tuple, got.collect())) == [(level, *b, *f) for level, (b, f) in enumerate(zip(blocks, files, strict=True))]
